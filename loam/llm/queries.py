@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from loam.llm.bpe import op2_bpe
 from loam.llm.fingerprints import op10_fingerprints
 
 QUERIES = {
+    "op2_bpe": op2_bpe,
     "op10_fingerprints": op10_fingerprints,
 }
 
