@@ -27,9 +27,10 @@ from loam.llm.common import slices, table, with_struct
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Distinct words whose encoding a Python worker remembers at a time; bounds memory, changes no result.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 #: Longer words are proposed and merged one by one.
 LONG_WORD = 256
+ENCODED = ["n_tokens", "token_ids", "round_trip"]
 NEVER = np.int64(1 << 40)
 
 
@@ -339,7 +340,7 @@ def _encoder(name: str, broadcast) -> Encoder:
 
 
 def encode(text: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:
-    """Struct column (n_tokens, token_ids) of a text column."""
+    """Struct column (n_tokens, token_ids, round_trip) of a text column; round_trip: decoding gives the text back."""
     shared = _shared(vocabulary)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -347,17 +348,19 @@ def encode(text: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:
         for texts in batches:
             parts = []
             for piece in slices(texts):
-                ids = encoder.encode(piece.to_pylist())
+                given = piece.to_pylist()
+                ids = encoder.encode(given)
+                back = [None if x is None else decode_ids(encoder.vocabulary, x.tolist()) == t for x, t in zip(ids, given)]
                 sizes = np.array([0 if x is None else len(x) for x in ids], np.int64)
                 gaps = np.array([x is None for x in ids])
                 at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, np.int32), *[x for x in ids if x is not None]])
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array(gaps))
-                parts.append(pa.StructArray.from_arrays([pa.array(sizes, pa.int64(), mask=gaps), lists], names=["n_tokens", "token_ids"]))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("n_tokens", pa.int64()), ("token_ids", pa.list_(pa.int32()))]))
+                parts.append(pa.StructArray.from_arrays([pa.array(sizes, pa.int64(), mask=gaps), lists, pa.array(back, pa.bool_())], names=ENCODED))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("n_tokens", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())]))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "n_tokens long, token_ids array<int>")(text)
+    return F.arrow_udf(run, "n_tokens long, token_ids array<int>, round_trip boolean")(text)
 
 
 def decode(ids: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:
@@ -387,13 +390,13 @@ def _shared(path: str):
 
 
 def bpe_encode(docs: DataFrame, text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """Append n_tokens and token_ids to every row.
+    """Append n_tokens, token_ids and round_trip (decoding the ids gives the text back) to every row.
 
-    A null text has null in both; an empty text has 0 and an empty list.  Whole texts are encoded whatever
+    A null text has null in all three; an empty text has 0, an empty list and true.  Whole texts are encoded whatever
     their length; repeated rows stay.  Extra columns are kept, except any that has the name of an output
     column, which the output replaces.  An empty table gives an empty table.
     """
-    return with_struct(docs, encode(F.col(text), vocabulary), ["n_tokens", "token_ids"])
+    return with_struct(docs, encode(F.col(text), vocabulary), ENCODED)
 
 
 def bpe_decode(rows: DataFrame, ids: str = "token_ids", out: str = "decoded", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -404,5 +407,4 @@ def bpe_decode(rows: DataFrame, ids: str = "token_ids", out: str = "decoded", vo
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens, decoded again and compared with its text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = bpe_decode(bpe_encode(docs))
-    return back.select("doc_id", "n_tokens", "token_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    return bpe_encode(docs).drop("text")
