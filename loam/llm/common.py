@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam import ready
+
 U64 = np.uint64
 #: Bytes of text handled at once inside a Python worker; bounds its memory, not the length of a text.
 SLICE_BYTES = 1 << 20
@@ -37,6 +39,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -172,3 +175,32 @@ def distinct_ngrams(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     h, doc = h[first], doc[first]
     return h, np.searchsorted(doc, np.arange(len(at)))
+
+
+def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Connected components of a graph: (node, root), root being the least node of the component.
+
+    Each round takes the least root among the neighbours and then that root's own root, until none changes.
+    """
+    ends = pairs.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node <> other")
+    edges = cut(ends.unionByName(ends.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
+    roots = cut(edges.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("root")))
+    while True:
+        near = edges.join(roots.select(F.col("node").alias("other"), F.col("root").alias("reached")), "other").groupBy("node").agg(F.min("reached").alias("reached"))
+        step = cut(roots.join(near, "node").select("node", F.least("root", "reached").alias("root"), F.col("root").alias("old")))
+        onward = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        step = cut(step.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root"), "old"))
+        if step.where("root <> old").isEmpty():
+            return step.select("node", "root")
+        roots = step.drop("old")
+
+
+def within(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less the ids in ``gone``, and with one row of each id; rows with a null id stay."""
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__loam_rows__")).where("__loam_rows__ > 1")
+    marks = gone.select("doc_id", F.lit(True).alias("__loam_gone__")).unionByName(again.select("doc_id", F.lit(False).alias("__loam_gone__")))
+    marks = cut(marks.groupBy("doc_id").agg(F.max("__loam_gone__").alias("__loam_gone__")))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.join(marks, "doc_id", "left").where("__loam_gone__ is null").select(*names)
+    once = docs.join(marks.where("not __loam_gone__"), "doc_id").select(*names)
+    return kept.unionByName(once.dropDuplicates(["doc_id"]))

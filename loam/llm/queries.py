@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from loam.llm.bpe import op2_bpe
 from loam.llm.fingerprints import op10_fingerprints
+from loam.llm.jaccard import op6_jaccard
 from loam.llm.language import op4_language
 from loam.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_language": op4_language,
+    "op6_jaccard": op6_jaccard,
     "op7_toxicity": op7_toxicity,
     "op10_fingerprints": op10_fingerprints,
 }
