@@ -6,14 +6,18 @@ from loam.llm.bpe import op2_bpe
 from loam.llm.fingerprints import op10_fingerprints
 from loam.llm.jaccard import op6_jaccard
 from loam.llm.language import op4_language
+from loam.llm.mixing import MIXING_SQL, op5_mixing
 from loam.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_language": op4_language,
+    "op5_mixing": op5_mixing,
     "op6_jaccard": op6_jaccard,
     "op7_toxicity": op7_toxicity,
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_mixing": MIXING_SQL,
+}
