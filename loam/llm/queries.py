@@ -5,6 +5,7 @@ from __future__ import annotations
 from loam.llm.bpe import op2_bpe
 from loam.llm.embeddings import op1_embeddings
 from loam.llm.fingerprints import op10_fingerprints
+from loam.llm.html import op8_html
 from loam.llm.jaccard import op6_jaccard
 from loam.llm.language import op4_language
 from loam.llm.mixing import MIXING_SQL, op5_mixing
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_jaccard": op6_jaccard,
     "op7_toxicity": op7_toxicity,
+    "op8_html": op8_html,
     "op9_urls": op9_urls,
     "op10_fingerprints": op10_fingerprints,
 }
