@@ -8,8 +8,8 @@ sketch is cut into blocks: with more blocks than d, two similar documents agree
 
 Large sets would need hundreds of blocks.  Their bands keep the grams whose hash is below a fixed rate,
 about SAMPLE of them, and BLOCKS blocks; the d sampled differences then fall on the blocks at random and
-leave one untouched with probability of at least 0.94 for a pair just at the threshold in the largest size
-of its band, and of over 0.99 for pairs above it or for smaller sizes.  Joined pairs must pass the Hamming
+leave one untouched with probability of at least 0.98 for a pair just at the threshold in the largest size
+of its band, and of over 0.999 for most others.  Joined pairs must pass the Hamming
 bound on a folded sketch, and at last their whole gram sets are compared.
 """
 
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from loam.llm.common import U64, components, cut, distinct_ngrams, mix64, slices, table, within
 
-GRAM, THRESHOLD = 3, 0.7
-BLOCKS, SAMPLE, WIDTH = 32, 224, 2.5
+GRAM, THRESHOLD = 3, 0.6
+BLOCKS, SAMPLE, WIDTH = 48, 240, 3.0
 FOLD = 256
 _PLACE, _DRAW, _BLOCK, _BIT = U64(0x51ED270B35AE62AD), U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93)
 
