@@ -54,7 +54,7 @@ def probabilities(mass: np.ndarray, raked: np.ndarray, keep: float = KEEP) -> np
     before_m, before_w = np.cumsum(m) - m, np.cumsum(w) - w
     rest = w.sum() - before_w
     factor = np.where(rest > 1e-12, (keep * mass.sum() - before_m) / np.where(rest > 1e-12, rest, 1), np.inf)
-    fits = np.flatnonzero(factor * ratio[order] <= 1)
+    fits = np.flatnonzero(np.isfinite(factor) & (np.where(np.isfinite(factor), factor, 0) * ratio[order] <= 1))
     f = factor[fits[0]] if len(fits) else np.inf
     return np.where(mass > 0, np.minimum(1.0, np.where(ratio > 0, f * np.where(ratio > 0, ratio, 1), 0.0)), 1.0)
 
