@@ -2,8 +2,9 @@
 
 Every URL becomes a host and a list of tokens: its path segments with numbers, hashes and UUIDs starred,
 then its query's parameter names.  The tokens of a host form a tree.  From the root down, a node's children
-give way to one wildcard if they are too many to be anything but variable, or if their share of bad labels
-is statistically like that of all children together.  The templates that remain are rejected if their
+give way to one wildcard if they are too many to be anything but variable.  Else those whose share of bad
+labels is statistically like that of all children together merge into ``*``, those that are clearly
+cleaner into ``*-`` and those that are clearly worse into ``*+``, wherever there are two at least.  The templates that remain are rejected if their
 labelled purity, smoothed towards the share of bad labels over all, says so.
 """
 
@@ -57,12 +58,14 @@ def templates(patterns: DataFrame) -> DataFrame:
         kids = at.where("token is not null").groupBy("host", "parent", "token").agg(F.sum("labelled").alias("c_lab"), F.sum("bad").alias("c_bad"))
         every = kids.groupBy("host", "parent").agg(F.count("*").alias("kids"), F.sum("c_lab").alias("p_lab"), F.sum("c_bad").alias("p_bad"))
         share = (F.col("p_bad") + 1) / (F.col("p_lab") + 2)
-        like = (F.col("kids") > CHILDREN) | (F.col("c_lab") == 0) | (F.abs(F.col("c_bad") / F.nullif("c_lab", F.lit(0)) - share) <= ALIKE_Z * F.sqrt(share * (1 - share) / F.nullif("c_lab", F.lit(0))))
-        kids = kids.join(every, ["host", "parent"]).withColumn("alike", like)
-        enough = kids.groupBy("host", "parent").agg(F.count_if("alike").alias("n_alike")).where("n_alike > 1")
-        merged = kids.where("alike").join(enough, ["host", "parent"]).select("host", "parent", "token", F.lit(True).alias("starred"))
+        labels = F.nullif("c_lab", F.lit(0))
+        off, width = F.col("c_bad") / labels - share, ALIKE_Z * F.sqrt(share * (1 - share) / labels)
+        alike = F.when((F.col("kids") > CHILDREN) | (F.col("c_lab") == 0) | (F.abs(off) <= width), "*").when(off < 0, "*-").otherwise("*+")
+        kids = kids.join(every, ["host", "parent"]).withColumn("starred", alike)
+        enough = kids.groupBy("host", "parent", "starred").agg(F.count("*").alias("n_alike")).where("n_alike > 1")
+        merged = kids.join(enough, ["host", "parent", "starred"]).select("host", "parent", "token", "starred")
         joined = at.join(merged, ["host", "parent", "token"], "left")
-        tokens = F.when(F.col("starred"), F.concat(F.slice("tokens", 1, d - 1), F.array(F.lit("*")), F.slice("tokens", d + 1, DEPTH + 1))).otherwise(F.col("tokens"))
+        tokens = F.when(F.col("starred").isNotNull(), F.concat(F.slice("tokens", 1, d - 1), F.array("starred"), F.slice("tokens", d + 1, DEPTH + 1))).otherwise(F.col("tokens"))
         patterns = cut(joined.select("host", "key", tokens.alias("tokens"), "labelled", "bad"))
     return patterns
 
@@ -112,13 +115,14 @@ def _level(d: int) -> str:
 at{d} as (select *, array_to_string(tokens[1:{d - 1}], '/') as parent, tokens[{d}] as token from lev{d - 1}),
 kids{d} as (select host, parent, token, sum(labelled)::bigint as c_lab, sum(bad)::bigint as c_bad from at{d} where token is not null group by all),
 every{d} as (select host, parent, count(*) as kids, sum(c_lab)::bigint as p_lab, sum(c_bad)::bigint as p_bad from kids{d} group by all),
-like{d} as (select k.*, kids > {CHILDREN} or c_lab = 0
-    or abs(c_bad::double / nullif(c_lab, 0) - {share}) <= {ALIKE_Z} * sqrt({share} * (1 - {share}) / nullif(c_lab, 0)) as alike
+like{d} as (select k.*, case when kids > {CHILDREN} or c_lab = 0
+    or abs(c_bad::double / nullif(c_lab, 0) - {share}) <= {ALIKE_Z} * sqrt({share} * (1 - {share}) / nullif(c_lab, 0)) then '*'
+    when c_bad::double / nullif(c_lab, 0) < {share} then '*-' else '*+' end as starred
   from kids{d} k join every{d} using (host, parent)),
-merged{d} as (select host, parent, token from like{d} where alike
-  qualify count(*) over (partition by host, parent) > 1),
+merged{d} as (select host, parent, token, starred from like{d}
+  qualify count(*) over (partition by host, parent, starred) > 1),
 lev{d} as (select a.host, a.key, a.labelled, a.bad,
-    case when m.token is not null then tokens[1:{d - 1}] || ['*'] || tokens[{d + 1}:] else tokens end as tokens
+    case when m.token is not null then tokens[1:{d - 1}] || [starred] || tokens[{d + 1}:] else tokens end as tokens
   from at{d} a left join merged{d} m on a.host = m.host and a.parent = m.parent and a.token = m.token),"""
 
 

@@ -40,30 +40,53 @@ def _headers(lines: list[bytes]) -> list[tuple[str, str]]:
     return out
 
 
+class _Members(io.RawIOBase):
+    """The content of gzip members end to end; of a cut off or damaged one, what comes before the damage."""
+
+    def __init__(self, source) -> None:
+        self.source, self.inner, self.rest, self.made = source, zlib.decompressobj(31), b"", b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, target) -> int:
+        while not self.made:
+            if self.inner is None:
+                return 0
+            if self.inner.eof:
+                self.rest, self.inner = self.inner.unused_data, zlib.decompressobj(31)
+            data = self.rest or self.source.read(1 << 16)
+            self.rest = b""
+            if not data:
+                self.made, self.inner = self.inner.flush(), None
+                continue
+            try:
+                self.made = self.inner.decompress(data)
+            except zlib.error:
+                self.inner = None
+        n = min(len(target), len(self.made))
+        target[:n], self.made = self.made[:n], self.made[n:]
+        return n
+
+
 def read_records(stream) -> Iterator[dict]:
     """Records of a WARC stream, gzip (whole or by record) or plain; what follows a damaged record head is skipped up to the next one."""
     buffered = stream if isinstance(stream, io.BufferedReader) else io.BufferedReader(stream)
     if buffered.peek(2)[:2] == b"\x1f\x8b":
-        buffered = io.BufferedReader(gzip.GzipFile(fileobj=buffered), 1 << 20)
+        buffered = io.BufferedReader(_Members(buffered), 1 << 20)
     while True:
-        try:
-            line = buffered.readline()
-        except (EOFError, OSError, zlib.error):
-            return
+        line = buffered.readline()
         if not line:
             return
         if not line.startswith(b"WARC/"):
             continue
-        try:
-            lines = []
-            while (line := buffered.readline()) not in (b"\r\n", b"\n", b""):
-                lines.append(line)
-            fields = _headers(lines)
-            named = dict(reversed(fields))
-            size = named.get("content-length", "")
-            block = buffered.read(int(size)) if size.isdigit() else b""
-        except (EOFError, OSError, zlib.error):
-            return
+        lines = []
+        while (line := buffered.readline()) not in (b"\r\n", b"\n", b""):
+            lines.append(line)
+        fields = _headers(lines)
+        named = dict(reversed(fields))
+        size = named.get("content-length", "")
+        block = buffered.read(int(size)) if size.isdigit() else b""
         strip = lambda v: v.strip("<>") if v else None
         if size.isdigit() and len(block) == int(size):
             yield {
