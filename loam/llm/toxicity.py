@@ -9,7 +9,6 @@ penalty on the features that tell the labels apart; whole texts are scored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,8 +35,22 @@ def word_features(word: str) -> tuple[str, ...]:
     return (WHOLE + word, "4" + word[:4], "5" + word[:5]) if n > 5 else (WHOLE + word, "4" + word[:4]) if n > 4 else (WHOLE + word,)
 
 
-def features(text: str) -> frozenset[str]:
-    return frozenset(f for w in set(WORD(text.lower())) for f in word_features(w))
+class Vocabulary:
+    """Features of training texts as numbers, so that a feature's string is held once."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+
+    def of(self, text: str) -> np.ndarray:
+        """The text's features, each once, ascending."""
+        number = self.number
+        found = {number.setdefault(f, len(number)) for w in set(WORD(text.lower())) for f in word_features(w)}
+        return np.sort(np.fromiter(found, np.int32, len(found)))
+
+    def counts(self, found: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
+        """Texts of ``chosen`` that have each feature."""
+        some = [f for f, c in zip(found, chosen) if c]
+        return np.bincount(np.concatenate([np.zeros(0, np.int32), *some]), minlength=len(self.number))
 
 
 @dataclass(frozen=True)
@@ -72,42 +85,40 @@ class OrdinalModel:
         return np.diff(edges, axis=1).argmax(axis=1)
 
 
-def graded(found: list[frozenset[str]], toxic: np.ndarray) -> np.ndarray:
+def graded(found: list[np.ndarray], toxic: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     """Grades of 0/1 labels: 0 not toxic, 2 toxic with at least the median number of toxic-sided words, 1 the rest.
 
     A word is toxic-sided if it occurs in ten times the share of toxic documents than of others.
     """
-    bad, good = Counter(), Counter()
-    for fs, t in zip(found, toxic):
-        (bad if t else good).update(f for f in fs if f[0] == WHOLE)
+    bad, good = vocabulary.counts(found, toxic == 1), vocabulary.counts(found, toxic == 0)
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    sided = {w for w, n in bad.items() if n >= MIN_DOCS and n / n1 > 10 * (good[w] + 0.5) / n0}
-    count = np.array([len(fs & sided) for fs in found])
+    whole = np.fromiter((f[0] == WHOLE for f in vocabulary.number), bool, len(vocabulary.number))
+    sided = whole & (bad >= MIN_DOCS) & (bad / n1 > 10 * (good + 0.5) / n0)
+    count = np.array([int(sided[f].sum()) for f in found])
     median = np.median(count[toxic == 1]) if (toxic == 1).any() else 0
     return np.where(toxic == 1, np.where(count >= max(1, median), 2, 1), 0)
 
 
-def select_features(found: list[frozenset[str]], toxic: np.ndarray) -> list[str]:
-    """Features whose shares of toxic and of other documents differ by at least MIN_Z standard errors."""
-    both = [Counter(f for fs, t in zip(found, toxic) if t == k for f in fs) for k in (0, 1)]
-    n = [max(1, int((toxic == k).sum())) for k in (0, 1)]
-    out = []
-    for f in sorted(both[0].keys() | both[1].keys()):
-        c0, c1 = both[0][f], both[1][f]
-        p = (c0 + c1) / (n[0] + n[1])
-        if c0 + c1 >= MIN_DOCS and abs(c1 / n[1] - c0 / n[0]) >= MIN_Z * np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1])):
-            out.append(f)
-    return out
+def select_features(found: list[np.ndarray], toxic: np.ndarray, vocabulary: Vocabulary) -> dict[str, int]:
+    """Numbers, in order of name, of the features whose shares of toxic and of other documents differ by at least MIN_Z standard errors."""
+    c0, c1 = (vocabulary.counts(found, toxic == k) for k in (0, 1))
+    n0, n1 = (max(1, int((toxic == k).sum())) for k in (0, 1))
+    p = (c0 + c1) / (n0 + n1)
+    good = (c0 + c1 >= MIN_DOCS) & (np.abs(c1 / n1 - c0 / n0) >= MIN_Z * np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1)))
+    return {f: k for f, k in sorted(vocabulary.number.items()) if good[k]}
 
 
-def fit(found: list[frozenset[str]], grades: np.ndarray, weight: np.ndarray) -> OrdinalModel:
+def fit(found: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, vocabulary: Vocabulary) -> OrdinalModel:
     """Fit weights and thresholds; with fewer than two grades present every text scores grade 0."""
     if len(set(grades.tolist())) < 2:
         return OrdinalModel({}, (50.0,))
     top, n = int(grades.max()), len(found)
-    column = {f: i for i, f in enumerate(select_features(found, (grades > 0).astype(int)))}
-    cells = [(d, column[f]) for d, fs in enumerate(found) for f in fs if f in column]
-    rows, cols = (np.array(x) for x in zip(*cells)) if cells else (np.zeros(0, int), np.zeros(0, int))
+    chosen = select_features(found, (grades > 0).astype(int), vocabulary)
+    column = {f: i for i, f in enumerate(chosen)}
+    place = np.full(len(vocabulary.number), -1)
+    place[list(chosen.values())] = np.arange(len(chosen))
+    at = [place[f] for f in found]
+    rows, cols = np.repeat(np.arange(n), [int((a >= 0).sum()) for a in at]), np.concatenate([a[a >= 0] for a in at])
     weight = weight / weight.sum()
     share = np.clip([weight[grades <= k].sum() for k in range(top)], 1e-4, 1 - 1e-4)
     theta = np.maximum.accumulate(np.log(share / (1 - share)))
@@ -154,9 +165,10 @@ def fit_labelled(texts: list[str], toxic: np.ndarray, totals: dict[int, int]) ->
         first += [int(h[a:b].min()) if b > a else -1 for a, b in zip(at[:-1], at[1:])]
     seen: set[int] = set()
     kept = [k for k, x in enumerate(first) if not (x in seen or seen.add(x))]
-    toxic, found = toxic[kept], [features(texts[k]) for k in kept]
+    vocabulary = Vocabulary()
+    toxic, found = toxic[kept], [vocabulary.of(texts[k]) for k in kept]
     share = {t: totals.get(t, 0) / max(1, (toxic == t).sum()) for t in (0, 1)}
-    return fit(found, graded(found, toxic), np.array([share[t] for t in toxic.tolist()], float))
+    return fit(found, graded(found, toxic, vocabulary), np.array([share[t] for t in toxic.tolist()], float), vocabulary)
 
 
 def score(text: Column, model: OrdinalModel) -> Column:
