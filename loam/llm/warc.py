@@ -208,7 +208,9 @@ def assemble(records: DataFrame) -> DataFrame:
     known = known.where(F.col("type").isin("request", "metadata", *CAPTURES)).withColumn("kind", kind)
     # An id for records without one, from all they hold, so that they can be told apart.
     known = known.withColumn("key", F.coalesce("record_id", F.concat(F.lit("none:"), F.sha2(F.concat(F.coalesce("block", F.lit(bytearray(b""))), F.to_json(F.struct("type", "uri", "date", "concurrent_to")).cast("binary")), 256))))
-    ids = known.select("key", "kind", "concurrent_to")
+    # All but the captures' payloads, read once.
+    heads = cut(known.select("key", "kind", "record_id", "concurrent_to", F.when(F.col("kind") != "capture", F.col("block")).alias("block")))
+    ids = heads.select("key", "kind", "concurrent_to")
     named = ids.select("key", "kind", F.explode("concurrent_to").alias("other"))
     ties = named.join(ids.select(F.col("key").alias("other"), F.col("kind").alias("other_kind")), "other").where("key <> other")
     ties = ties.select("key", "kind", "other", "other_kind").unionByName(ties.select(F.col("other").alias("key"), F.col("other_kind").alias("kind"), F.col("key").alias("other"), F.col("kind").alias("other_kind")))
@@ -217,7 +219,7 @@ def assemble(records: DataFrame) -> DataFrame:
     direct = ties.where("kind = 'metadata' and other_kind = 'capture'").select("key", F.col("other").alias("capture"))
     through = ties.where("kind = 'metadata' and other_kind = 'request'").select("key", F.col("other").alias("request")).join(asked.withColumnRenamed("key", "request"), "request").select("key", "capture")
     tied = asked.unionByName(direct).unionByName(through).distinct()
-    small = known.where("kind <> 'capture'").select("key", "kind", "record_id", "block").join(tied, "key")
+    small = heads.where("kind <> 'capture'").select("key", "kind", "record_id", "block").join(tied, "key")
     part = F.struct("record_id", "block")
     sides = small.groupBy("capture").agg(
         F.min(F.when(F.col("kind") == "request", part)).alias("request"),
