@@ -10,7 +10,8 @@ Large sets would need hundreds of blocks.  Their bands keep the grams whose hash
 about SAMPLE of them, and BLOCKS blocks; the d sampled differences then fall on the blocks at random and
 leave one untouched with probability of at least 0.98 for a pair just at the threshold in the largest size
 of its band, and of over 0.999 for most others.  Joined pairs must pass the Hamming
-bound on a folded sketch, and at last their whole gram sets are compared.
+bound on a folded sketch, and at last their whole gram sets are compared.  Documents of equal gram sets are
+one node in all this; the pairs of nodes are expanded to the pairs of their documents at the end.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from loam.llm.common import U64, components, cut, distinct_ngrams, mix64, slices
 GRAM, THRESHOLD = 3, 0.6
 BLOCKS, SAMPLE, WIDTH = 48, 240, 3.0
 FOLD = 256
+#: Candidate pairs held at once inside a Python worker, about.
+HELD = 500_000
 _PLACE, _DRAW, _BLOCK, _BIT = U64(0x51ED270B35AE62AD), U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93)
 
 
@@ -130,19 +133,27 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose key occurs more than once."""
+    """The distinct rows whose key occurs with more than one id; rows are sorted by key and id."""
     for t in runs(batches):
-        key = t["key"].to_numpy()
+        key, ids = t["key"].to_numpy(), t["id"].to_numpy()
+        first = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])
+        t, key = t.filter(pa.array(first)), key[first]
         same = key[1:] == key[:-1]
         keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         yield from t.filter(pa.array(keep)).to_batches()
 
 
-def candidates(bands: Bands):
-    """Pairs inside each block's documents that pass the Hamming bound.
+def distinct_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+    x, y = np.concatenate(left), np.concatenate(right)
+    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+    return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["node_a", "node_b"])
 
-    The documents nearest to the block's majority sketch lead in turn.  Each leader is paired with all
-    that pass the bound; those that are clearly similar to it are thereby joined to its group and lead no
+
+def candidates(bands: Bands, every: bool):
+    """Pairs inside each block's nodes that pass the Hamming bound: every one of them, or those that span them.
+
+    To span them, the nodes nearest to the block's majority sketch lead in turn.  Each leader is paired with
+    all that pass the bound; those that are clearly similar to it are thereby joined to its group and lead no
     more.  All others go on, however many they are.
     """
     spread, threshold, whole = bands.spread, bands.threshold, bands.whole
@@ -157,6 +168,7 @@ def candidates(bands: Bands):
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             ends = np.append(starts[1:], len(key))
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            last = np.repeat(ends, ends - starts)
 
             def test(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 apart = np.bitwise_count(fold[a] ^ fold[b]).sum(axis=1, dtype=np.int64)
@@ -170,6 +182,7 @@ def candidates(bands: Bands):
             good = two[test(two, two + 1)[0]] if len(two) else two
             left.append(ids[good])
             right.append(ids[good + 1])
+            fresh = [np.zeros(0, np.int64)]
             for a, b in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
                 mark = (int(key[a]) & 63, b - a, ids[a:b].tobytes() if b - a < 64 else int(key[a]))
                 if mark in seen:
@@ -177,6 +190,9 @@ def candidates(bands: Bands):
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(mark)
+                if every:
+                    fresh.append(np.arange(a, b))
+                    continue
                 bits = np.unpackbits(fold[a:b].view(np.uint8), axis=1)
                 majority = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > b - a).view(np.uint64)
                 far = np.bitwise_count(fold[a:b] ^ majority).sum(axis=1)
@@ -187,64 +203,93 @@ def candidates(bands: Bands):
                     left.append(ids[lead[fits]])
                     right.append(ids[todo[fits]])
                     todo = todo[~joined]
-            x, y = np.concatenate(left), np.concatenate(right)
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["doc_a", "doc_b"])
+            at, step, held = np.concatenate(fresh), 0, 0
+            while len(at):
+                step += 1
+                at = at[at + step < last[at]]
+                fits = at[test(at, at + step)[0]]
+                left.append(ids[fits])
+                right.append(ids[fits + step])
+                held += len(fits)
+                if held > HELD:
+                    yield distinct_pairs(left, right)
+                    left, right, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+            yield distinct_pairs(left, right)
 
     return run
 
 
-def jaccard(a: Column, b: Column, gram: int = GRAM) -> Column:
-    """Jaccard similarity of two texts' n-gram sets; null if either has no grams."""
+def jaccard(a: Column, b: Column, node_a: Column, node_b: Column, gram: int = GRAM) -> Column:
+    """Jaccard similarity of two texts' n-gram sets; null if one of them isn't its node's set."""
 
-    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+    def run(x: pa.Array, y: pa.Array, p_is: pa.Array, q_is: pa.Array) -> pa.Array:
         out = []
         done = 0
+        p_is, q_is = p_is.to_numpy().view(U64), q_is.to_numpy().view(U64)
         for piece in slices(x):
             h, at = distinct_ngrams(piece, gram)
             g, to = distinct_ngrams(y.slice(done, len(piece)), gram)
-            done += len(piece)
             for i in range(len(piece)):
                 p, q = h[at[i] : at[i + 1]], g[to[i] : to[i + 1]]
+                sound = np.bitwise_xor.reduce(mix64(p)) == p_is[done + i] and np.bitwise_xor.reduce(mix64(q)) == q_is[done + i]
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                out.append(both / (len(p) + len(q) - both) if len(p) and len(q) else None)
+                out.append(both / (len(p) + len(q) - both) if sound and len(p) and len(q) else None)
+            done += len(piece)
         return pa.array(out, pa.float64())
 
-    run.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "double")(a, b)
+    run.__annotations__ = {"x": pa.Array, "y": pa.Array, "p_is": pa.Array, "q_is": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "double")(a, b, node_a, node_b)
+
+
+def node_pairs(docs: DataFrame, threshold: float, gram: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """The nodes' documents (node, doc_id, rep), rep being a node's least id, and the nodes' verified pairs (node_a, node_b, jaccard)."""
+    bands = Bands(threshold)
+    made = cut(sketches(docs, gram, bands))
+    marks = made.select(F.col("sig_a").alias("node"), "doc_id").distinct()
+    reps = marks.groupBy("node").agg(F.min("doc_id").alias("rep"))
+    members = cut(marks.join(reps, "node"))
+    rows = made.select(F.explode("keys").alias("key"), F.col("sig_a").alias("id"))
+    met = rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(shared, "key long, id long")
+    shape = made.groupBy("sig_a", "band").agg(F.max(F.struct("n", "s", "fold")).alias("x")).select(F.col("sig_a").alias("id"), F.col("band").cast("long").alias("band"), "x.*")
+    full = met.withColumn("band", F.col("key").bitwiseAND(63)).join(shape, ["id", "band"])
+    near = cut(full.select("key", "id", "n", "s", "fold").repartition("key").sortWithinPartitions("key", "id").mapInArrow(candidates(bands, every), "node_a long, node_b long").distinct())
+    first = members.where("doc_id = rep")
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    a, b = (texts.select(F.col("doc_id").alias(f"doc_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
+    for x in "ab":
+        near = near.join(first.select(F.col("node").alias(f"node_{x}"), F.col("doc_id").alias(f"doc_{x}")), f"node_{x}")
+    both = near.join(a, "doc_a").join(b, "doc_b")
+    like = jaccard(F.col("text_a"), F.col("text_b"), F.col("node_a"), F.col("node_b"), gram)
+    checked = both.select("node_a", "node_b", like.alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
+    return members, checked.groupBy("node_a", "node_b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM) -> DataFrame:
-    """Pairs (doc_a < doc_b, jaccard) that tie together all documents of Jaccard similarity >= ``threshold``.
+    """All pairs (doc_a < doc_b, jaccard) of documents of Jaccard similarity >= ``threshold``.
 
-    Every returned pair is verified on whole gram sets.  The result spans the full join: documents of equal
-    gram sets are each paired with the least id among them, which alone stands for them in pairs with
-    others, and a document clearly similar to a group's leader is paired with that leader and not with
-    each further member.  So groups of thousands of copies give thousands of pairs, not millions, and the
-    connected groups are those of the full join.
+    Every returned pair is verified on whole gram sets.  All nodes of a block are compared with each other,
+    and each pair of nodes is expanded to their documents, so n copies give n (n - 1) / 2 pairs.
 
     Null ids and texts, and texts without words, are in no pair; a text of fewer words than ``gram`` has one
     gram.  Rows that share an id are one document; of their pairs with another the greatest similarity is
     returned, and no document is paired with itself.  Extra columns are ignored.  An empty table gives no
     pairs.
     """
-    bands = Bands(threshold)
-    made = cut(sketches(docs, gram, bands))
-    marks = made.select("doc_id", "sig_a", "sig_b").distinct()
-    least = marks.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).where("size > 1")
-    same = cut(marks.join(least, ["sig_a", "sig_b"]).where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep")))
-    rows = made.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long, id long")
-    stood = met.join(same.withColumnRenamed("doc_id", "id"), "id", "left").select("key", F.coalesce("rep", "id").alias("id")).distinct()
-    shape = made.groupBy("doc_id", "band").agg(F.max(F.struct("n", "s", "fold")).alias("x")).select(F.col("doc_id").alias("id"), F.col("band").cast("long").alias("band"), "x.*")
-    full = stood.withColumn("band", F.col("key").bitwiseAND(63)).join(shape, ["id", "band"])
-    near = full.select("key", "id", "n", "s", "fold").repartition("key").sortWithinPartitions("key").mapInArrow(candidates(bands), "doc_a long, doc_b long").distinct()
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    a, b = (texts.select(F.col("doc_id").alias(f"doc_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
-    both = cut(near).join(a, "doc_a").join(b, "doc_b")
-    checked = both.select("doc_a", "doc_b", jaccard(F.col("text_a"), F.col("text_b"), gram).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
-    exact = same.select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return checked.unionByName(exact).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    members, near = node_pairs(docs, threshold, gram, every=True)
+    near = cut(near)
+    a, b = (members.select(F.col("node").alias(f"node_{x}"), F.col("doc_id").alias(f"x_{x}")) for x in "ab")
+    across = near.join(a, "node_a").join(b, "node_b").select("x_a", "x_b", "jaccard")
+    equal = a.join(b, F.col("node_a") == F.col("node_b")).where("x_a < x_b").select("x_a", "x_b", F.lit(1.0).alias("jaccard"))
+    pairs = across.unionByName(equal).where("x_a <> x_b")
+    return pairs.groupBy(F.least("x_a", "x_b").alias("doc_a"), F.greatest("x_a", "x_b").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
+
+
+def spanning_pairs(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM) -> DataFrame:
+    """Verified pairs (doc_a, doc_b) whose connected groups are those of the full join, about n for n copies."""
+    members, near = node_pairs(docs, threshold, gram, every=False)
+    a, b = (members.where("doc_id = rep").select(F.col("node").alias(f"node_{x}"), F.col("doc_id").alias(f"doc_{x}")) for x in "ab")
+    across = near.join(a, "node_a").join(b, "node_b").select("doc_a", "doc_b")
+    return across.unionByName(members.where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b")))
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM) -> DataFrame:
@@ -252,7 +297,7 @@ def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD, gram: int =
 
     Documents in no pair stay, those with null ids or texts included; of rows that share an id one stays.
     """
-    pairs = jaccard_join(docs, threshold, gram)
+    pairs = spanning_pairs(docs, threshold, gram)
     gone = components(pairs, "doc_a", "doc_b").where("node <> root").select(F.col("node").alias("doc_id"))
     return within(docs, gone)
 

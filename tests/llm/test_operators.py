@@ -212,6 +212,28 @@ def test_jaccard_join_finds_pairs_near_the_threshold(spark, size):
     assert got <= set(pairs) and len(got) >= 0.95 * len(pairs)
 
 
+def test_jaccard_join_returns_every_pair_of_a_group(spark):
+    words = [f"w{k}" for k in range(200)]
+    near = lambda k: " ".join([*words[:k], f"x{k}", *words[k + 1 :]])
+    texts = [" ".join(words)] * 4 + [near(20 * k) for k in range(1, 8)] * 2 + [f"{near(50)} {near(90)} y"]
+    docs = spark.createDataFrame([*enumerate(texts), (0, "another text of the first id"), (30, "another text of the first id")], "doc_id long, text string")
+    sets = [gram_set(t) for t in texts]
+    true = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for b in range(len(sets)) for a in range(b)} | {(0, 30): 1.0}
+    true = {p: j for p, j in true.items() if j >= 0.6}
+    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in jaccard.jaccard_join(docs).collect()}
+    assert len(true) > 150 and got.keys() == true.keys() and all(abs(got[p] - true[p]) < 1e-9 for p in true)
+
+
+def test_jaccard_pair_recall_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r["doc_id"]: gram_set(r["text"]) for r in docs.collect()}
+    like = lambda a, b: min(len(sets[a]), len(sets[b])) >= 0.6 * max(len(sets[a]), len(sets[b])) > 0 and len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    ids = sorted(sets)
+    true = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if like(a, b) >= 0.6}
+    got = {(r["doc_a"], r["doc_b"]) for r in jaccard.jaccard_join(docs).collect()}
+    assert got <= true and len(got) >= 0.99 * len(true)
+
+
 def test_jaccard_edges(spark):
     docs = awkward(spark, jaccard="clash", doc_a=1)
     got = [(r["doc_a"], r["doc_b"], r["jaccard"]) for r in jaccard.jaccard_join(docs).collect()]
