@@ -1,10 +1,10 @@
 """URL filtering by a tree of path templates.
 
 Every URL becomes a host and a list of tokens: its path segments with numbers, hashes and UUIDs starred,
-then its query's parameter names.  The tokens of a host form a tree.  From the root down, a node's children
-give way to one wildcard if they are too many to be anything but variable.  Else those whose share of bad
-labels is statistically like that of all children together merge into ``*``, those that are clearly
-cleaner into ``*-`` and those that are clearly worse into ``*+``, wherever there are two at least.  The templates that remain are rejected if their
+then its query's parameter names.  The tokens of a host form a tree.  From the root down, a node's children,
+however many, whose share of bad labels is statistically like that of all children together, or that have
+no labels, merge into ``*``, those that are clearly cleaner into ``*-`` and those that are clearly worse
+into ``*+``, wherever there are two at least.  The templates that remain are rejected if their
 labelled purity, smoothed towards the share of bad labels over all, says so.
 """
 
@@ -17,7 +17,7 @@ from loam.llm.common import cut, table, with_struct
 
 #: Tokens told apart along a path; what lies deeper is one token, ``**``.
 DEPTH = 5
-#: More distinct children than this are variable.
+#: More distinct children than this are variable; in the SQL only, whose tables have no such node.
 CHILDREN = 20
 #: Standard errors within which a child's bad share is like its siblings'.
 ALIKE_Z = 2.0
@@ -56,11 +56,11 @@ def templates(patterns: DataFrame) -> DataFrame:
     for d in range(1, DEPTH + 2):
         at = patterns.withColumn("parent", F.array_join(F.slice("tokens", 1, d - 1), "/")).withColumn("token", F.get("tokens", F.lit(d - 1)))
         kids = at.where("token is not null").groupBy("host", "parent", "token").agg(F.sum("labelled").alias("c_lab"), F.sum("bad").alias("c_bad"))
-        every = kids.groupBy("host", "parent").agg(F.count("*").alias("kids"), F.sum("c_lab").alias("p_lab"), F.sum("c_bad").alias("p_bad"))
+        every = kids.groupBy("host", "parent").agg(F.sum("c_lab").alias("p_lab"), F.sum("c_bad").alias("p_bad"))
         share = (F.col("p_bad") + 1) / (F.col("p_lab") + 2)
         labels = F.nullif("c_lab", F.lit(0))
         off, width = F.col("c_bad") / labels - share, ALIKE_Z * F.sqrt(share * (1 - share) / labels)
-        alike = F.when((F.col("kids") > CHILDREN) | (F.col("c_lab") == 0) | (F.abs(off) <= width), "*").when(off < 0, "*-").otherwise("*+")
+        alike = F.when((F.col("c_lab") == 0) | (F.abs(off) <= width), "*").when(off < 0, "*-").otherwise("*+")
         kids = kids.join(every, ["host", "parent"]).withColumn("starred", alike)
         enough = kids.groupBy("host", "parent", "starred").agg(F.count("*").alias("n_alike")).where("n_alike > 1")
         merged = kids.join(enough, ["host", "parent", "starred"]).select("host", "parent", "token", "starred")

@@ -409,5 +409,13 @@ def test_url_templates(spark):
     assert urls.filter_urls(df.limit(0), F.col("bad")).count() == 0
 
 
+@pytest.mark.parametrize("labels", [50, 5])
+def test_url_siblings_of_a_bad_directory_stay_apart_however_many(spark, labels):
+    rows = [(f"http://h.example/spam/{k}", 1) for k in range(300)]
+    rows += [(f"http://h.example/d{chr(97 + d)}/{k}", 0) for d in range(20) for k in range(labels)]
+    out = urls.filter_urls(spark.createDataFrame(rows, "url string, bad int"), F.col("bad")).collect()
+    assert len(out) == len(rows) and all(r["rejected"] == bool(r["bad"]) for r in out)
+
+
 def test_rows_are_json_friendly(spark):
     assert json.loads(fingerprints.document_fingerprints(awkward(spark)).drop("text").toJSON().first())
