@@ -10,12 +10,14 @@ labelled purity, smoothed towards the share of bad labels over all, says so.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm.common import cut, table, with_struct
 
-#: Tokens told apart along a path; what lies deeper is one token, ``**``.
+#: Tokens told apart along a path, what lies deeper being one token, ``**``; in the SQL only, whose tables have no such path.
 DEPTH = 5
 #: More distinct children than this are variable; in the SQL only, whose tables have no such node.
 CHILDREN = 20
@@ -47,15 +49,28 @@ def tokens_of(url: Column) -> Column:
     segments = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), star)
     names = F.filter(F.transform(F.split(query, "&"), lambda p: F.lower(F.split_part(p, F.lit("="), F.lit(1)))), lambda n: (n != "") & ~n.startswith("utm_"))
     names = F.array_sort(F.array_distinct(names))
-    every = F.concat(segments, F.when(F.size(names) > 0, F.array(F.concat(F.lit("?"), F.array_join(names, "&")))).otherwise(F.array().cast("array<string>")))
-    return F.when(F.size(every) > DEPTH, F.concat(F.slice(every, 1, DEPTH), F.array(F.lit("**")))).otherwise(every)
+    return F.concat(segments, F.when(F.size(names) > 0, F.array(F.concat(F.lit("?"), F.array_join(names, "&")))).otherwise(F.array().cast("array<string>")))
 
 
 def templates(patterns: DataFrame) -> DataFrame:
-    """Generalise (host, key, tokens, labelled, bad) patterns from the root down; tokens become the template's."""
-    for d in range(1, DEPTH + 2):
-        at = patterns.withColumn("parent", F.array_join(F.slice("tokens", 1, d - 1), "/")).withColumn("token", F.get("tokens", F.lit(d - 1)))
-        kids = at.where("token is not null").groupBy("host", "parent", "token").agg(F.sum("labelled").alias("c_lab"), F.sum("bad").alias("c_bad"))
+    """Generalise (host, key, tokens, labelled, bad) patterns from the root down; tokens become the template's.
+
+    Each round goes from a node to the next one below with more than one child, as those between change
+    nothing; it thus takes as many rounds as there are such nodes along a path, however long the paths are.
+    """
+    final = []
+    todo = patterns.select("host", "key", F.array().cast("array<string>").alias("done"), F.col("tokens").alias("rest"), "labelled", "bad")
+    while True:
+        at = todo.withColumn("parent", F.array_join("done", "/"))
+        longest = at.groupBy("host", "parent").agg(F.max_by("rest", F.size("rest")).alias("ref"))
+        apart = F.array_position(F.zip_with("rest", "ref", lambda x, y: F.coalesce(x != y, F.lit(False))), F.lit(True))
+        at = at.join(longest, ["host", "parent"]).withColumn("apart", F.nullif(apart, F.lit(0).cast("long"))).drop("ref")
+        forks = at.groupBy("host", "parent").agg(F.min("apart").cast("int").alias("fork"))
+        at = cut(at.join(forks, ["host", "parent"]))
+        on = F.col("fork").isNotNull() & (F.size("rest") >= F.col("fork"))
+        final.append(at.where(~on).select("host", "key", F.concat("done", "rest").alias("tokens"), "labelled", "bad"))
+        at = at.where(on).withColumn("token", F.get("rest", F.col("fork") - 1))
+        kids = at.groupBy("host", "parent", "token").agg(F.sum("labelled").alias("c_lab"), F.sum("bad").alias("c_bad"))
         every = kids.groupBy("host", "parent").agg(F.sum("c_lab").alias("p_lab"), F.sum("c_bad").alias("p_bad"))
         share = (F.col("p_bad") + 1) / (F.col("p_lab") + 2)
         labels = F.nullif("c_lab", F.lit(0))
@@ -65,9 +80,10 @@ def templates(patterns: DataFrame) -> DataFrame:
         enough = kids.groupBy("host", "parent", "starred").agg(F.count("*").alias("n_alike")).where("n_alike > 1")
         merged = kids.join(enough, ["host", "parent", "starred"]).select("host", "parent", "token", "starred")
         joined = at.join(merged, ["host", "parent", "token"], "left")
-        tokens = F.when(F.col("starred").isNotNull(), F.concat(F.slice("tokens", 1, d - 1), F.array("starred"), F.slice("tokens", d + 1, DEPTH + 1))).otherwise(F.col("tokens"))
-        patterns = cut(joined.select("host", "key", tokens.alias("tokens"), "labelled", "bad"))
-    return patterns
+        done = F.concat("done", F.slice("rest", 1, F.col("fork") - 1), F.array(F.coalesce("starred", "token")))
+        todo = cut(joined.select("host", "key", done.alias("done"), F.slice("rest", F.col("fork") + 1, F.size("rest")).alias("rest"), "labelled", "bad"))
+        if todo.isEmpty():
+            return cut(reduce(DataFrame.unionByName, final))
 
 
 def filter_urls(pages: DataFrame, label: Column, url: str = "url") -> DataFrame:

@@ -417,5 +417,16 @@ def test_url_siblings_of_a_bad_directory_stay_apart_however_many(spark, labels):
     assert len(out) == len(rows) and all(r["rejected"] == bool(r["bad"]) for r in out)
 
 
+def test_url_branches_below_any_depth_are_told_apart(spark):
+    deep = "/en/news/2024/05/02" + "/x" * 300
+    rows = [(f"http://h.example/en/news/2024/05/02/{s}/{k}", bad) for s, bad in (("casino-offers", 1), ("local-news", 0)) for k in range(40)]
+    rows += [(f"http://q.example{deep}/{k}?{name}=1", bad) for name, bad in (("win", 1), ("page", 0)) for k in range(40)]
+    rows += [("http://q.example/en" + "/d" * n, None) for n in range(1, 40)]
+    rows += [(f"http://clean.example/{k}", 0) for k in range(40)]
+    out = urls.filter_urls(spark.createDataFrame(rows, "url string, bad int"), F.col("bad")).collect()
+    assert len(out) == len(rows) and all(r["rejected"] == (r["bad"] == 1) for r in out)
+    assert "h.example/en/news/*/*/*/casino-offers/*" in {r["template"] for r in out}
+
+
 def test_rows_are_json_friendly(spark):
     assert json.loads(fingerprints.document_fingerprints(awkward(spark)).drop("text").toJSON().first())
