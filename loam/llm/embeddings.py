@@ -3,8 +3,9 @@
 Each pass draws random hyperplanes, writes every vector's signs as one long key (a concatenation of one-bit
 hashes), sorts all vectors by key and compares each with the next WINDOW of the order.  Vectors of high
 cosine share long key prefixes and so lie near each other in some pass.  Verified pairs of all passes are
-united.  The number of passes follows from the corpus size, so that a pair just at the threshold is met
-with probability MEET at every size.
+united.  The number of passes follows from how long the prefixes are that about WINDOW vectors share, which
+a first pass measures in the table's dense regions, so that a pair just at the threshold is met there with
+probability MEET, whatever the size of the table and the likeness of its vectors.
 """
 
 from __future__ import annotations
@@ -21,19 +22,22 @@ from loam.llm.common import components, cut, table, without
 
 THRESHOLD, WINDOW, MEET, SEED = 0.95, 64, 0.98, 11
 KEY_BITS = 62
+#: Share of the vectors whose surroundings are no denser than those that the passes are made for.
+DENSE = 0.99
 #: Vectors for each range of the order, about; a range holds many windows.
 RANGE_ROWS = 20_000
 ROWS_SCHEMA = "pass int, key long, tie long, vec_id long, v binary"
 FIELDS = ["group_id", "kept"]
 
 
-def passes_needed(rows: int, threshold: float = THRESHOLD, window: int = WINDOW, meet: float = MEET) -> int:
+def passes_needed(rows: int, threshold: float = THRESHOLD, window: int = WINDOW, meet: float = MEET, prefix: float = 0.0) -> int:
     """Passes after which a pair at the threshold has been within a window with probability ``meet``.
 
     In one pass two such vectors share a prefix of b bits with probability (1 - angle / pi) ** b, and about
-    ``window`` vectors share the prefix when b = log2(rows / window).
+    ``window`` vectors share the prefix when b = log2(rows / window) if unrelated vectors agree in every
+    second bit; where they agree in more, ``prefix`` is the greater length measured.
     """
-    bits = max(0.0, math.log2(max(rows, 1) / window))
+    bits = max(prefix, math.log2(max(rows, 1) / window))
     met = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
     return 1 if met >= meet else math.ceil(math.log(1 - meet) / math.log(1 - met))
 
@@ -82,6 +86,35 @@ def window_pairs(passes: np.ndarray, ids: np.ndarray, x: np.ndarray, threshold:
     return [np.concatenate(z) for z in zip(*found)]
 
 
+def shared_prefix(rows: DataFrame, dim: int, threshold: float, window: int) -> int:
+    """Length of the key prefix that about ``window`` vectors share in a pass's dense regions; 0 if there are fewer vectors.
+
+    Of near copies next to each other one counts: they are one group wherever the window cuts them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, before = [np.zeros(0, np.int64)], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix(batch, dim)
+            x = np.concatenate([np.zeros((1, dim), np.float32) if before is None else before, x])
+            kept.append(batch["key"].to_numpy()[np.einsum("ij,ij->i", x[1:], x[:-1]) < threshold])
+            before = x[-1:]
+        key = np.concatenate(kept)
+        apart = np.frexp((key[window:] ^ key[: len(key) - min(window, len(key))]).astype(float))[1]
+        length, count = np.unique(KEY_BITS - apart, return_counts=True)
+        yield pa.record_batch([pa.array(length.astype(np.int64)), pa.array(count.astype(np.int64))], names=["length", "n"])
+
+    counts = sorted(rows.mapInArrow(run, "length long, n long").groupBy("length").agg(F.sum("n").alias("n")).collect())
+    reached, total = 0, sum(n for _, n in counts)
+    for length, n in counts:
+        reached += n
+        if reached >= DENSE * total:
+            return length
+    return 0
+
+
 def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
     """Verified pairs (vec_a < vec_b, cosine) of all passes, each once.
 
@@ -97,10 +130,14 @@ def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, window: int = W
     if not sizes:
         return vectors.sparkSession.createDataFrame([], "vec_a long, vec_b long, cosine double")
     dim, rows = sizes[0]
-    passes = passes_needed(rows, threshold, window)
-    ranges = max(1, math.ceil(passes * rows / RANGE_ROWS))
     order = ["pass", "key", "tie"]
-    sorted_rows = cut(keyed(one.where(F.size("embedding") == dim), dim, passes).repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()))
+
+    def ordered(passes: int) -> DataFrame:
+        ranges = max(1, math.ceil(passes * rows / RANGE_ROWS))
+        return keyed(one.where(F.size("embedding") == dim), dim, passes).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+
+    passes = passes_needed(rows, threshold, window, prefix=shared_prefix(ordered(1), dim, threshold, window))
+    sorted_rows = cut(ordered(passes).withColumn("range", F.spark_partition_id()))
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None

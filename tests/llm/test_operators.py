@@ -297,6 +297,18 @@ def test_passes_follow_the_corpus_size():
     assert 1 < embeddings.passes_needed(50_000) < embeddings.passes_needed(10**9)
 
 
+def test_embedding_recall_where_all_vectors_are_alike(spark):
+    rng = np.random.default_rng(5)
+    g = lambda n: rng.standard_normal((n, 64)) / 8
+    x = embeddings.unit(np.sqrt(0.8) * embeddings.unit(g(1)) + np.sqrt(0.2) * g(6000))
+    x[1:1000:2] = embeddings.unit(x[0:1000:2] + 0.3 * g(500))
+    like = np.triu(x @ x.T, 1)
+    true = set(zip(*(z.tolist() for z in np.nonzero(like >= 0.951))))
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {(r["vec_a"], r["vec_b"]) for r in embeddings.near_pairs(df).collect()}
+    assert len(true) > 200 and len(true & got) >= 0.97 * len(true)
+
+
 def test_embedding_edges(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (None, [1.0, 0.0]), (4, []), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [1.0, 2.0, 3.0]), (8, [float("nan"), 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("kept", F.lit("clash"))
