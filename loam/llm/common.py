@@ -182,11 +182,13 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def within(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` less the ids in ``gone``, and with one row of each id; rows with a null id stay."""
+    """``docs`` less the ids in ``gone``, and with one row (of the least text) of each id; rows with a null id stay."""
     again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__loam_rows__")).where("__loam_rows__ > 1")
     marks = gone.select("doc_id", F.lit(True).alias("__loam_gone__")).unionByName(again.select("doc_id", F.lit(False).alias("__loam_gone__")))
     marks = cut(marks.groupBy("doc_id").agg(F.max("__loam_gone__").alias("__loam_gone__")))
     names = [F.col(f"`{c}`") for c in docs.columns]
     kept = docs.join(marks, "doc_id", "left").where("__loam_gone__ is null").select(*names)
     once = docs.join(marks.where("not __loam_gone__"), "doc_id").select(*names)
-    return kept.unionByName(once.dropDuplicates(["doc_id"]))
+    row = F.struct(*names)
+    least = once.groupBy(F.col("doc_id").alias("__loam_id__")).agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("__loam_row__"))
+    return kept.unionByName(least.select("__loam_row__.*"))

@@ -1,120 +1,165 @@
 """N-gram Jaccard join by parity sketches, size bands and the pigeonhole principle.
 
-A document is the set of its distinct word n-grams.  Every gram flips one bit of a wide parity sketch, so
-two sketches differ in at most as many bits as the sets have differing elements, d.  Pairs of Jaccard
-similarity t have d <= (1 - t) / (1 + t) * (|A| + |B|).  Documents of like size share a band, and a band's
-sketch is cut into blocks: with more blocks than d, two similar documents agree in some whole block
-(pigeonhole), and the agreeing blocks are found by an equi-join on (band, block, block's bits).
-
-Large sets would need hundreds of blocks.  Their bands keep the grams whose hash is below a fixed rate,
-about SAMPLE of them, and BLOCKS blocks; the d sampled differences then fall on the blocks at random and
-leave one untouched with probability of at least 0.98 for a pair just at the threshold in the largest size
-of its band, and of over 0.999 for most others.  Joined pairs must pass the Hamming
-bound on a folded sketch, and at last their whole gram sets are compared.  Documents of equal gram sets are
-one node in all this; the pairs of nodes are expanded to the pairs of their documents at the end.
+A document is the set of its distinct word n-grams; documents of equal sets are one class.  Every gram flips
+one bit of a wide parity sketch, so two sketches differ in at most as many bits as the sets have differing
+elements, d.  Pairs of Jaccard similarity t have d <= (1 - t) / (1 + t) * (|A| + |B|).  Classes of like size
+share a band, and a band's sketch is cut into blocks: with more blocks than d, two similar classes agree in
+some whole block (pigeonhole), and the agreeing blocks are found by an equi-join on (band, block, block's
+bits).  Sets of up to TINY grams would agree in empty blocks only; they and their possible partners are
+keyed by their least grams instead, of which two similar sets always share one.  Sets of over about 130
+grams are sketched at a fixed rate of their grams, about SAMPLE of them; the sampled differences then leave
+a block untouched with probability of at least 0.9999 for a pair just at the threshold.
+
+Classes that meet in a block and pass the Hamming bound are linked into routing groups by a spanning forest
+of each block, which is linear in the block.  Each class then sends its whole gram set to its routing group
+once, and there every pair is compared exactly.  A block of many classes is cut into tiles of TILE classes
+and a routing group into tiles of as many or of GRAMS_HELD grams, and tiles meet two at a time in tasks of their own, so
+that no group is ever held in one task.  What leaves a tile is linear in it: each class's number of links
+and a spanning forest of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm.common import U64, components, cut, distinct_ngrams, mix64, slices, table, within
 
 GRAM, THRESHOLD = 3, 0.6
-BLOCKS, SAMPLE, WIDTH = 48, 240, 3.0
-FOLD = 256
-#: Candidate pairs held at once inside a Python worker, about.
-HELD = 500_000
+BLOCKS, SAMPLE, WIDTH = 64, 240, 3.0
+FOLD, SIGMAS = 512, 4.0
+TINY = 16
+#: Classes of a block or routing group, and grams of the latter, that one tile holds, about; two tiles meet in a task.
+TILE, GRAMS_HELD = 4096, 1_000_000
+#: Blocks up to this size are compared pair by pair without a loop over them.
+SMALL = 8
 _PLACE, _DRAW, _BLOCK, _BIT = U64(0x51ED270B35AE62AD), U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93)
 
 
 class Bands:
-    """Overlapping ranges of set sizes; any two sizes of ratio up to 1 / threshold lie together in one."""
+    """Band 0, of tiny sets, and overlapping ranges of sizes; two sizes over TINY of ratio up to 1 / threshold lie together in one."""
 
     def __init__(self, threshold: float):
         step = WIDTH * threshold
         if not 0 < threshold <= 1 or step <= 1:
             raise ValueError(f"threshold must be over {1 / WIDTH} and at most 1")
         self.threshold, self.spread = threshold, (1 - threshold) / (1 + threshold)
-        low = np.cumprod(np.concatenate([[1.0], np.full(int(np.log(1e9) / np.log(step)), step)]))
-        self.low, self.high = np.ceil(low - 1e-9).astype(np.int64), np.floor(low * WIDTH + 1e-9).astype(np.int64)
+        low = (TINY + 1) * np.cumprod(np.concatenate([[1.0], np.full(int(np.log(1e9) / np.log(step)), step)]))
+        self.low = np.concatenate([[1], np.ceil(low - 1e-9).astype(np.int64)])
+        self.high = np.concatenate([[int(TINY / threshold + 1e-9)], np.floor(low * WIDTH + 1e-9).astype(np.int64)])
         self.blocks = np.minimum(BLOCKS, np.floor(self.spread * 2 * self.high + 1e-9).astype(np.int64) + 1)
-        self.rate = np.minimum(1.0, SAMPLE / self.high)
+        self.rate = np.where(self.spread * 2 * self.high < BLOCKS, 1.0, np.minimum(1.0, SAMPLE / self.high))
         self.keep = np.array([(1 << 64) - 1 if r >= 1 else int(r * 2**64) for r in self.rate], U64)
         self.whole = self.rate >= 1
 
     def of(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(document, band) of all memberships."""
+        """(set, band) of all memberships."""
         inside = (sizes[:, None] >= self.low[None, :]) & (sizes[:, None] <= self.high[None, :])
         return np.nonzero(inside)
 
+    def most(self, s: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """Bits of the fold in which a similar pair with ``s`` sketched grams differs at most.
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("band", pa.int32()), ("n", pa.int64()), ("s", pa.int32()), ("fold", pa.binary()), ("keys", pa.list_(pa.int64()))])
+        Where all grams are sketched that is the bound on d itself.  Where they are sampled, d varies, and the
+        fold's bits that two differences hit again are counted off.
+        """
+        d = self.spread * s
+        high = d + SIGMAS * np.sqrt(d) + 1
+        p = (1 - np.exp(-2 * high / FOLD)) / 2
+        return np.floor(np.where(self.whole[band], d, np.minimum(high, FOLD * p + SIGMAS * np.sqrt(FOLD * p * (1 - p)))) + 1e-9)
 
 
-def sketch(ids: pa.Array, texts: pa.Array, gram: int, bands: Bands) -> pa.RecordBatch:
-    """One row for each document and band it belongs to; documents without grams have none."""
+def set_hash(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each gram set; 0 for the empty one."""
+    out, full = np.zeros(len(at) - 1, U64), np.flatnonzero(np.diff(at))
+    if len(full):
+        out[full] = mix64(np.add.reduceat(mix64(h), at[:-1][full]) ^ mix64(np.bitwise_xor.reduceat(mix64(h ^ _PLACE), at[:-1][full])))
+    return out
+
+
+SKETCH_DDL = "node long, n long, head boolean, band int, s int, fold binary, keys array<long>"
+
+
+def sketch(ids: pa.Array, texts: pa.Array, gram: int, bands: Bands, seen: set[int]) -> pa.RecordBatch:
+    """One row (head) for each document, and one for each band of every class not in ``seen``.
+
+    Documents without an id or without grams have a null node.
+    """
     h, at = distinct_ngrams(texts, gram)
     sizes = np.diff(at)
-    full = np.flatnonzero(sizes)
-    sig_a, sig_b = np.zeros(len(sizes), U64), np.zeros(len(sizes), U64)
-    if len(full):
-        sig_a[full] = np.bitwise_xor.reduceat(mix64(h), at[:-1][full])
-        sig_b[full] = np.add.reduceat(mix64(h ^ _PLACE), at[:-1][full])
-    doc, band = bands.of(sizes)
-    draw = mix64(h ^ _DRAW)
+    node = set_hash(h, at).view(np.int64)
+    sound = (sizes > 0) & ids.is_valid().to_numpy(zero_copy_only=False)
+    fresh = np.zeros(len(sizes), bool)
+    for k in np.flatnonzero(sound).tolist():
+        if (x := int(node[k])) not in seen:
+            seen.add(x)
+            fresh[k] = True
+    doc, band = bands.of(np.where(fresh, sizes, 0))
     count = sizes[doc]
     row = np.repeat(np.arange(len(doc)), count)
-    token = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(at[:-1][doc], count)
-    held = draw[token] <= bands.keep[band][row]
+    rank = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    token = rank + np.repeat(at[:-1][doc], count)
+    first = (band[row] == 0) & (rank < (count - np.ceil(bands.threshold * count - 1e-9).astype(np.int64) + 1)[row])
+    tiny_row, tiny_key = row[first], mix64(h[token[first]] ^ _PLACE) << U64(6)
+    held = mix64(h[token] ^ _DRAW) <= bands.keep[band][row]
     row, token = row[held], token[held]
     g = h[token]
     block = (mix64(g ^ _BLOCK) % bands.blocks[band][row].astype(U64)).astype(np.int64)
     spot = row * BLOCKS + block
     bits, hit = np.zeros(len(doc) * BLOCKS, U64), np.zeros(len(doc) * BLOCKS, bool)
-    np.bitwise_xor.at(bits, spot, mix64(g ^ _PLACE))
-    hit[spot] = True
+    order = np.argsort(spot, kind="stable")
+    if len(order):
+        begins = np.flatnonzero(np.diff(spot[order], prepend=-1))
+        at_spot = spot[order][begins]
+        bits[at_spot] = np.bitwise_xor.reduceat(mix64(g[order] ^ _PLACE), begins)
+        hit[at_spot] = band[at_spot // BLOCKS] > 0
     where = np.flatnonzero(hit)
     b = band[where // BLOCKS].astype(U64)
-    keys = (mix64(bits[where] ^ mix64(b * U64(BLOCKS) + (where % BLOCKS).astype(U64))) << U64(6) | b).view(np.int64)
+    keys = mix64(bits[where] ^ mix64(b * U64(BLOCKS) + (where % BLOCKS).astype(U64))) << U64(6) | b
+    owner = np.concatenate([where // BLOCKS, tiny_row])
+    keys = np.concatenate([keys, tiny_key])[np.argsort(owner, kind="stable")].view(np.int64)
     bit = (mix64(g ^ _BIT) % U64(FOLD)).astype(np.int64)
     parity = (np.bincount(row * FOLD + bit, minlength=len(doc) * FOLD) & 1).astype(np.uint8).reshape(len(doc), FOLD)
-    fold = np.packbits(parity, axis=1)
-    offsets = np.concatenate([[0], np.cumsum(hit.reshape(-1, BLOCKS).sum(axis=1))]) if len(doc) else np.zeros(1)
+    fold = np.packbits(parity, axis=1).tobytes()
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(doc)))])
+    heads, width = len(sizes), FOLD // 8
+    folds = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer((np.arange(len(doc) + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(fold)])
+    null = lambda kind: pa.nulls(heads, kind)
     return pa.record_batch(
         [
-            ids.take(pa.array(doc)),
-            pa.array(sig_a[doc].view(np.int64)),
-            pa.array(sig_b[doc].view(np.int64)),
-            pa.array(band, pa.int32()),
-            pa.array(count, pa.int64()),
-            pa.array(np.bincount(row, minlength=len(doc)), pa.int32()),
-            pa.array([f.tobytes() for f in fold], pa.binary()),
-            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys)),
+            pa.concat_arrays([ids, pa.nulls(len(doc), ids.type)]),
+            pa.array(np.concatenate([node, node[doc]]), mask=np.concatenate([~sound, np.zeros(len(doc), bool)])),
+            pa.array(np.concatenate([sizes, count])),
+            pa.array(np.arange(heads + len(doc)) < heads),
+            pa.concat_arrays([null(pa.int32()), pa.array(band, pa.int32())]),
+            pa.concat_arrays([null(pa.int32()), pa.array(np.bincount(row, minlength=len(doc)), pa.int32())]),
+            pa.concat_arrays([null(pa.binary()), folds]),
+            pa.concat_arrays([null(pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys))]),
         ],
-        schema=SKETCH,
+        names=["doc_id", "node", "n", "head", "band", "s", "fold", "keys"],
     )
 
 
 def sketches(docs: DataFrame, gram: int, bands: Bands) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             done = 0
             for piece in slices(batch["text"]):
-                yield sketch(batch["doc_id"].slice(done, len(piece)), piece, gram, bands)
+                yield sketch(batch["doc_id"].slice(done, len(piece)), piece, gram, bands, seen)
                 done += len(piece)
 
-    named = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    return named.mapInArrow(run, "doc_id long, sig_a long, sig_b long, band int, n long, s int, fold binary, keys array<long>")
+    named = docs.select("doc_id", "text")
+    return named.mapInArrow(run, f"doc_id {dict(named.dtypes)['doc_id']}, {SKETCH_DDL}")
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Regroup batches sorted by ``key`` so that no key is split between two tables."""
+def runs(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iterator[pa.Table]:
+    """Regroup batches sorted by ``key`` into tables of ``least`` rows, about, so that no key is split between two."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
@@ -122,7 +167,7 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             continue
         key = batch["key"].to_numpy(zero_copy_only=False)
         last = int(np.searchsorted(key, key[-1]))
-        if last == 0 and held and held[-1]["key"][-1].as_py() == key[0] or rows + last < 20_000:
+        if last == 0 and held and held[-1]["key"][-1].as_py() == key[0] or rows + last < least:
             held.append(batch)
             rows += batch.num_rows
             continue
@@ -133,31 +178,21 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct rows whose key occurs with more than one id; rows are sorted by key and id."""
+    """The distinct rows whose key occurs with more than one id, and each row's tile among the key's; rows are sorted by key and id."""
     for t in runs(batches):
         key, ids = t["key"].to_numpy(), t["id"].to_numpy()
         first = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])
-        t, key = t.filter(pa.array(first)), key[first]
-        same = key[1:] == key[:-1]
-        keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        yield from t.filter(pa.array(keep)).to_batches()
-
-
-def distinct_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
-    x, y = np.concatenate(left), np.concatenate(right)
-    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-    return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["node_a", "node_b"])
-
+        key, ids = key[first], ids[first]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(starts, len(key)))
+        tiles = np.repeat(-(-size // TILE), size)
+        keep = np.repeat(size > 1, size)
+        tile = (np.arange(len(key)) - np.repeat(starts, size)) % tiles
+        yield pa.record_batch([pa.array(key[keep]), pa.array(ids[keep]), pa.array(tile[keep], pa.int32()), pa.array(tiles[keep], pa.int32())], names=["key", "id", "tile", "tiles"])
 
-def candidates(bands: Bands, every: bool):
-    """Pairs inside each block's nodes that pass the Hamming bound: every one of them, or those that span them.
 
-    To span them, the nodes nearest to the block's majority sketch lead in turn.  Each leader is paired with
-    all that pass the bound; those that are clearly similar to it are thereby joined to its group and lead no
-    more.  All others go on, however many they are.
-    """
-    spread, threshold, whole = bands.spread, bands.threshold, bands.whole
-    sure = (1 - threshold) / 2 / (2 - (1 - threshold) / 2)
+def forest(bands: Bands) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs that span the nodes of every block (or two tiles of one) as all pairs under the Hamming bound would."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple] = set()
@@ -165,141 +200,229 @@ def candidates(bands: Bands, every: bool):
             key = t["key"].to_numpy()
             ids, n, s = (t[c].to_numpy() for c in ("id", "n", "s"))
             fold = np.frombuffer(b"".join(t["fold"].to_pylist()), np.uint64).reshape(-1, FOLD // 64)
+            band = key & 63
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             ends = np.append(starts[1:], len(key))
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             last = np.repeat(ends, ends - starts)
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
-            def test(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                apart = np.bitwise_count(fold[a] ^ fold[b]).sum(axis=1, dtype=np.int64)
-                most = spread * (s[a] + s[b])
-                most = np.floor(np.where(whole[key[a] & 63], most, most + 3 * np.sqrt(most) + 1) + 1e-9)
-                fits = (apart <= most) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9) & (ids[a] != ids[b])
-                likely = -FOLD / 2 * np.log1p(-2 * np.minimum(apart, FOLD / 2 - 1) / FOLD)
-                return fits, fits & (likely <= sure * (s[a] + s[b])) | (ids[a] == ids[b])
-
-            two = starts[ends - starts == 2]
-            good = two[test(two, two + 1)[0]] if len(two) else two
-            left.append(ids[good])
-            right.append(ids[good + 1])
-            fresh = [np.zeros(0, np.int64)]
-            for a, b in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
-                mark = (int(key[a]) & 63, b - a, ids[a:b].tobytes() if b - a < 64 else int(key[a]))
+            def test(a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
+                apart = np.bitwise_count(fold[a] ^ fold[b]).sum(axis=-1, dtype=np.int64)
+                return (apart <= bands.most(s[a] + s[b], band[b])) & (np.minimum(n[a], n[b]) >= bands.threshold * np.maximum(n[a], n[b]) - 1e-9)
+
+            at = np.flatnonzero(np.repeat(ends - starts <= SMALL, ends - starts))
+            for step in range(1, SMALL):
+                at = at[at + step < last[at]]
+                good = at[test(at, at + step)]
+                left.append(ids[good])
+                right.append(ids[good + step])
+            for a, b in zip(starts[ends - starts > SMALL].tolist(), ends[ends - starts > SMALL].tolist()):
+                mark = (int(band[a]), hashlib.blake2b(ids[a:b].tobytes(), digest_size=16).digest())
                 if mark in seen:
                     continue
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(mark)
-                if every:
-                    fresh.append(np.arange(a, b))
-                    continue
-                bits = np.unpackbits(fold[a:b].view(np.uint8), axis=1)
-                majority = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > b - a).view(np.uint64)
-                far = np.bitwise_count(fold[a:b] ^ majority).sum(axis=1)
-                todo = a + np.lexsort((ids[a:b], far))
-                while len(todo) > 1:
-                    lead, todo = np.full(len(todo) - 1, todo[0]), todo[1:]
-                    fits, joined = test(lead, todo)
-                    left.append(ids[lead[fits]])
-                    right.append(ids[todo[fits]])
-                    todo = todo[~joined]
-            at, step, held = np.concatenate(fresh), 0, 0
-            while len(at):
-                step += 1
-                at = at[at + step < last[at]]
-                fits = at[test(at, at + step)[0]]
-                left.append(ids[fits])
-                right.append(ids[fits + step])
-                held += len(fits)
-                if held > HELD:
-                    yield distinct_pairs(left, right)
-                    left, right, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-            yield distinct_pairs(left, right)
+                todo, queue = np.arange(a, b), []
+                while len(todo):
+                    if not queue:
+                        queue, todo = [int(todo[0])], todo[1:]
+                    x = queue.pop()
+                    good = test(x, todo)
+                    hit = todo[good]
+                    if len(hit):
+                        left.append(np.full(len(hit), ids[x]))
+                        right.append(ids[hit])
+                        queue += hit.tolist()
+                        todo = todo[~good]
+            x, y = np.concatenate(left), np.concatenate(right)
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["node_a", "node_b"])
 
     return run
 
 
-def jaccard(a: Column, b: Column, node_a: Column, node_b: Column, gram: int = GRAM) -> Column:
-    """Jaccard similarity of two texts' n-gram sets; null if one of them isn't its node's set."""
+def tiled(rows: DataFrame, key: str) -> DataFrame:
+    """Send every row to its key's pairs of tiles; ``key`` becomes the pair's, and ``cross`` tells that two tiles meet there."""
+    each = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    a, b = F.least("tile", "other"), F.greatest("tile", "other")
+    band = F.col(key).bitwiseAND(63)
+    pair = F.when(F.col("tiles") == 1, F.col(key)).otherwise(F.shiftleft(F.xxhash64(key, a, b), 6).bitwiseOR(band))
+    return each.withColumn("cross", a != b).withColumn(key, pair).drop("other")
 
-    def run(x: pa.Array, y: pa.Array, p_is: pa.Array, q_is: pa.Array) -> pa.Array:
-        out = []
-        done = 0
-        p_is, q_is = p_is.to_numpy().view(U64), q_is.to_numpy().view(U64)
-        for piece in slices(x):
-            h, at = distinct_ngrams(piece, gram)
-            g, to = distinct_ngrams(y.slice(done, len(piece)), gram)
-            for i in range(len(piece)):
-                p, q = h[at[i] : at[i + 1]], g[to[i] : to[i + 1]]
-                sound = np.bitwise_xor.reduce(mix64(p)) == p_is[done + i] and np.bitwise_xor.reduce(mix64(q)) == q_is[done + i]
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                out.append(both / (len(p) + len(q) - both) if sound and len(p) and len(q) else None)
-            done += len(piece)
-        return pa.array(out, pa.float64())
 
-    run.__annotations__ = {"x": pa.Array, "y": pa.Array, "p_is": pa.Array, "q_is": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "double")(a, b, node_a, node_b)
+def gram_sets(gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The gram set, as bytes, of every row whose text has the set that its node names; each node once a partition."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            done = 0
+            for piece in slices(batch["text"]):
+                part = batch.slice(done, len(piece))
+                done += len(piece)
+                h, at = distinct_ngrams(piece, gram)
+                node = part["node"].to_numpy()
+                mine = np.flatnonzero(set_hash(h, at).view(np.int64) == node)
+                mine = [k for k in mine.tolist() if not (int(node[k]) in seen or seen.add(int(node[k])))]
+                kept = part.take(pa.array(mine, pa.int64()))
+                sets = pa.array([h[at[k] : at[k + 1]].tobytes() for k in mine], pa.binary())
+                yield pa.record_batch([kept["key"], kept["node"], kept["tile"], kept["tiles"], sets], names=["key", "node", "tile", "tiles", "grams"])
+
+    return run
+
+
+def overlaps(h: np.ndarray, row: np.ndarray, m: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Numbers of common grams of m different sets, some rows at a time: (first row, rows x m); ``h`` are the grams of the sets ``row``."""
+    _, gram, df = np.unique(h, return_inverse=True, return_counts=True)
+    often = df > 1
+    held = often[gram]
+    gram, row = (np.cumsum(often) - 1)[gram[held]], row[held]
+    df = df[often]
+    width = max(1, len(df))
+    step = max(1, (1 << 22) // max(m, width))
+    # A product of dense rows costs about a thirtieth of a nanosecond an element, a posting about ten.
+    dense = m * width <= 1 << 24 and m * m * width / 300 <= float((df.astype(float) ** 2).sum())
+    order = np.argsort(gram, kind="stable")
+    posts, begin = row[order], np.cumsum(df) - df
+    at = np.searchsorted(row, np.arange(m + 1))
+    if dense:
+        full = np.zeros((m, width), np.float32)
+        full[row, gram] = 1
+    for a in range(0, m, step):
+        b = min(m, a + step)
+        if dense:
+            yield a, np.rint(full[a:b] @ full.T).astype(np.int64)
+            continue
+        made, low = np.zeros((b - a) * m, np.int64), at[a]
+        while low < at[b]:
+            high = max(low + 1, low + int(np.searchsorted(np.cumsum(df[gram[low : at[b]]]), 1 << 22)))
+            g, many = gram[low:high], df[gram[low:high]]
+            spot = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin[g], many)
+            made += np.bincount(np.repeat(row[low:high] - a, many) * m + posts[spot], minlength=len(made))
+            low = high
+        yield a, made.reshape(b - a, m)
 
-def node_pairs(docs: DataFrame, threshold: float, gram: int, every: bool) -> tuple[DataFrame, DataFrame]:
-    """The nodes' documents (node, doc_id, rep), rep being a node's least id, and the nodes' verified pairs (node_a, node_b, jaccard)."""
+
+def verified(threshold: float, pairs: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Exact comparison of all sets of a routing group (or of two tiles of one, across).
+
+    With ``pairs`` the linked pairs and their similarity; else each node, its number of links here and another
+    node that it is linked to directly or not (itself if to none).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, 500):
+            key = t["key"].to_numpy()
+            every, tile, cross = t["node"].to_numpy(), t["tile"].to_numpy(), t["cross"].to_numpy()
+            grams = t["grams"].to_pylist()
+            a_out, b_out, x_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
+                nodes, first = np.unique(every[lo:hi], return_index=True)
+                if len(nodes) < 2:
+                    continue
+                sets = [np.frombuffer(grams[lo + k], U64) for k in first.tolist()]
+                n, part, m = np.array([len(x) for x in sets]), tile[lo:hi][first], len(nodes)
+                label, links = np.arange(m), np.zeros(m, np.int64)
+                for a, both in overlaps(np.concatenate(sets), np.repeat(np.arange(m), n), m):
+                    rows = np.arange(a, a + len(both))
+                    like = both / (n[rows][:, None] + n[None, :] - both)
+                    hit = like >= threshold - 1e-12
+                    hit[rows - a, rows] = False
+                    if cross[lo]:
+                        hit &= part[rows][:, None] != part[None, :]
+                    links[rows] = hit.sum(axis=1)
+                    p, q = np.nonzero(hit)
+                    if pairs:
+                        up = p + a < q
+                        a_out.append(nodes[p[up] + a])
+                        b_out.append(nodes[q[up]])
+                        x_out.append(like[p[up], q[up]])
+                        continue
+                    while len(p):
+                        x, y = label[p + a], label[q]
+                        apart = x != y
+                        if not apart.any():
+                            break
+                        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+                        while not np.array_equal(onward := label[label], label):
+                            label = onward
+                if not pairs:
+                    a_out.append(nodes)
+                    b_out.append(nodes[label])
+                    x_out.append(links.astype(float))
+            a, b, x = np.concatenate(a_out), np.concatenate(b_out), np.concatenate(x_out)
+            if pairs:
+                yield pa.record_batch([pa.array(a), pa.array(b), pa.array(x)], names=["node_a", "node_b", "jaccard"])
+            else:
+                yield pa.record_batch([pa.array(a), pa.array(b), pa.array(x.astype(np.int64))], names=["node", "other", "links"])
+
+    return run
+
+
+def compared(docs: DataFrame, threshold: float, gram: int, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (doc_id, node), classes (node, rep: the least id, n) and what ``verified`` has of them."""
     bands = Bands(threshold)
     made = cut(sketches(docs, gram, bands))
-    marks = made.select(F.col("sig_a").alias("node"), "doc_id").distinct()
-    reps = marks.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    members = cut(marks.join(reps, "node"))
-    rows = made.select(F.explode("keys").alias("key"), F.col("sig_a").alias("id"))
-    met = rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(shared, "key long, id long")
-    shape = made.groupBy("sig_a", "band").agg(F.max(F.struct("n", "s", "fold")).alias("x")).select(F.col("sig_a").alias("id"), F.col("band").cast("long").alias("band"), "x.*")
-    full = met.withColumn("band", F.col("key").bitwiseAND(63)).join(shape, ["id", "band"])
-    near = cut(full.select("key", "id", "n", "s", "fold").repartition("key").sortWithinPartitions("key", "id").mapInArrow(candidates(bands, every), "node_a long, node_b long").distinct())
-    first = members.where("doc_id = rep")
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    a, b = (texts.select(F.col("doc_id").alias(f"doc_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
+    heads = made.where("head").select("doc_id", "node", "n")
+    classes = heads.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    drawn = made.where("band is not null")
+    rows = drawn.select(F.explode("keys").alias("key"), F.col("node").alias("id"))
+    met = rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(shared, "key long, id long, tile int, tiles int")
+    shape = drawn.groupBy(F.col("node").alias("id"), F.col("band").cast("long").alias("band")).agg(F.max(F.struct("n", "s", "fold")).alias("x")).select("id", "band", "x.*")
+    full = tiled(met.withColumn("band", F.col("key").bitwiseAND(63)).join(shape, ["id", "band"]), "key")
+    near = full.select("key", "id", "n", "s", "fold").repartition("key").sortWithinPartitions("key", "id").mapInArrow(forest(bands), "node_a long, node_b long")
+    routes = components(near, "node_a", "node_b").join(classes, "node")
+    sizes = routes.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / GRAMS_HELD, F.count("*") / TILE)).cast("int").alias("tiles"))
+    placed = cut(routes.join(sizes, "root").select(F.col("root").alias("key"), "node", F.col("rep").alias("doc_id"), F.pmod(F.xxhash64("node"), "tiles").cast("int").alias("tile"), "tiles"))
+    texts = docs.where("text is not null").select("doc_id", "text").join(placed, "doc_id").select("key", "node", "tile", "tiles", "text")
+    sets = tiled(texts.mapInArrow(gram_sets(gram), "key long, node long, tile int, tiles int, grams binary"), "key")
+    kind = "node_a long, node_b long, jaccard double" if pairs else "node long, other long, links long"
+    return heads, classes, cut(sets.repartition("key").sortWithinPartitions("key", "node").mapInArrow(verified(threshold, pairs), kind))
+
+
+def class_pairs(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM) -> DataFrame:
+    """All pairs of classes of Jaccard similarity >= ``threshold``, by their least ids: (doc_a, doc_b, jaccard), doc_a <= doc_b.
+
+    The documents of a class follow from ``jaccard_join``'s class_id.  The rules for nulls, repeats and ties
+    are its own; where one id has several texts, a pair may hold an id twice.
+    """
+    _, classes, found = compared(docs, threshold, gram, True)
     for x in "ab":
-        near = near.join(first.select(F.col("node").alias(f"node_{x}"), F.col("doc_id").alias(f"doc_{x}")), f"node_{x}")
-    both = near.join(a, "doc_a").join(b, "doc_b")
-    like = jaccard(F.col("text_a"), F.col("text_b"), F.col("node_a"), F.col("node_b"), gram)
-    checked = both.select("node_a", "node_b", like.alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
-    return members, checked.groupBy("node_a", "node_b").agg(F.max("jaccard").alias("jaccard"))
+        found = found.join(classes.select(F.col("node").alias(f"node_{x}"), F.col("rep").alias(f"rep_{x}")), f"node_{x}")
+    return found.select(F.least("rep_a", "rep_b").alias("doc_a"), F.greatest("rep_a", "rep_b").alias("doc_b"), "jaccard")
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM) -> DataFrame:
-    """All pairs (doc_a < doc_b, jaccard) of documents of Jaccard similarity >= ``threshold``.
+    """One row for each row of ``docs``: doc_id, class_id, n_links, group_id.
 
-    Every returned pair is verified on whole gram sets.  All nodes of a block are compared with each other,
-    and each pair of nodes is expanded to their documents, so n copies give n (n - 1) / 2 pairs.
+    class_id is the least id of the documents of the same gram set, n_links the number of other classes of
+    Jaccard similarity >= ``threshold``, each verified on whole gram sets, and group_id the least id of all
+    documents that links and classes join, directly or not.
 
-    Null ids and texts, and texts without words, are in no pair; a text of fewer words than ``gram`` has one
-    gram.  Rows that share an id are one document; of their pairs with another the greatest similarity is
-    returned, and no document is paired with itself.  Extra columns are ignored.  An empty table gives no
-    pairs.
+    A row with a null id, a null text or a text without words is a class and a group of its own, under its own
+    id, without links.  A text of fewer words than ``gram`` has one gram.  Repeated rows stay; rows that share
+    an id but not a text are in the classes of their texts.  Ids may be of any type that has an order.  Extra
+    columns are ignored.  An empty table gives no rows.
     """
-    members, near = node_pairs(docs, threshold, gram, every=True)
-    near = cut(near)
-    a, b = (members.select(F.col("node").alias(f"node_{x}"), F.col("doc_id").alias(f"x_{x}")) for x in "ab")
-    across = near.join(a, "node_a").join(b, "node_b").select("x_a", "x_b", "jaccard")
-    equal = a.join(b, F.col("node_a") == F.col("node_b")).where("x_a < x_b").select("x_a", "x_b", F.lit(1.0).alias("jaccard"))
-    pairs = across.unionByName(equal).where("x_a <> x_b")
-    return pairs.groupBy(F.least("x_a", "x_b").alias("doc_a"), F.greatest("x_a", "x_b").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
-
-
-def spanning_pairs(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM) -> DataFrame:
-    """Verified pairs (doc_a, doc_b) whose connected groups are those of the full join, about n for n copies."""
-    members, near = node_pairs(docs, threshold, gram, every=False)
-    a, b = (members.where("doc_id = rep").select(F.col("node").alias(f"node_{x}"), F.col("doc_id").alias(f"doc_{x}")) for x in "ab")
-    across = near.join(a, "node_a").join(b, "node_b").select("doc_a", "doc_b")
-    return across.unionByName(members.where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b")))
+    heads, classes, found = compared(docs, threshold, gram, False)
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    groups = components(found.where("other <> node"), "node", "other")
+    least = groups.join(classes, "node").groupBy("root").agg(F.min("rep").alias("group"))
+    named = classes.select("node", "rep").join(links, "node", "left").join(groups.join(least, "root").select("node", "group"), "node", "left")
+    rows = heads.select("doc_id", "node").join(named, "node", "left")
+    return rows.select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("group", "rep", "doc_id").alias("group_id"))
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM) -> DataFrame:
     """``docs`` with one document, of the least id, of each group of near copies, in its own columns.
 
-    Documents in no pair stay, those with null ids or texts included; of rows that share an id one stays.
+    Documents in no pair stay, those with null ids or texts included; of rows that share an id the one of the
+    least text stays.  Extra columns stay.  An empty table gives an empty table.
     """
-    pairs = spanning_pairs(docs, threshold, gram)
-    gone = components(pairs, "doc_a", "doc_b").where("node <> root").select(F.col("node").alias("doc_id"))
-    return within(docs, gone)
+    joined = jaccard_join(docs.select("doc_id", "text"), threshold, gram)
+    return within(docs, joined.where("doc_id <> group_id").select("doc_id").distinct())
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
