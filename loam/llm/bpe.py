@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import slices, table, with_struct
+from loam.llm.common import IntMap, flat_bytes, slices, table, with_struct
 
 #: Splits a text into words before any merge; words never share a token.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -34,38 +34,6 @@ ENCODED = ["n_tokens", "token_ids", "round_trip"]
 NEVER = np.int64(1 << 40)
 
 
-class IntMap:
-    """Immutable map from non-negative int64 to int32 with vectorised lookup (open addressing)."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, (4 * len(keys)).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
-        todo, slot = np.arange(len(keys)), self.slot(keys)
-        while len(todo):
-            free = self.keys[slot] < 0
-            self.keys[slot[free]] = keys[todo[free]]
-            placed = self.keys[slot] == keys[todo]
-            self.values[slot[placed]] = values[todo[placed]]
-            todo, slot = todo[~placed], (slot[~placed] + 1) & (len(self.keys) - 1)
-
-    def slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Values of the keys, -1 where absent."""
-        slot = self.slot(keys)
-        held = self.keys[slot]
-        out = np.where(held == keys, self.values[slot], -1)
-        on = np.flatnonzero((held != keys) & (held >= 0))
-        while len(on):
-            slot[on] = (slot[on] + 1) & (len(self.keys) - 1)
-            held = self.keys[slot[on]]
-            hit = held == keys[on]
-            out[on[hit]] = self.values[slot[on[hit]]]
-            on = on[~hit & (held >= 0)]
-        return out
-
-
 class Vocabulary:
     """Ranked byte tokens with the merge tree of each."""
 
@@ -92,6 +60,10 @@ class Vocabulary:
         #: Tokens that no sequence of merges makes are never proposed.
         self.offered = {t: i for i, t in enumerate(tokens) if len(t) == 1 or self.left[i] >= 0}
         self.pairs = IntMap(np.array(keys, np.int64), np.array(values, np.int64))
+        #: All tokens end to end, and where each begins and ends.
+        self.table = np.frombuffer(b"".join(tokens), np.uint8)
+        self.ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n))
+        self.begins = np.concatenate([[0], self.ends[:-1]])
         self.byte_ids = np.array([self.rank[bytes([b])] for b in range(256)])
         steps: dict[int, int] = {}
         token_of = [-1]
@@ -116,6 +88,12 @@ class Vocabulary:
             raise ValueError(f"{path}: ranks must be 0..n-1 and hold every single byte")
         return cls(tokens)
 
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids end to end, and how many each has."""
+        size = (self.ends - self.begins)[ids]
+        before = np.cumsum(size) - size
+        return self.table[np.repeat(self.begins[ids] - before, size) + np.arange(int(size.sum()))], size
+
     def merge(self, word: bytes, below: int = 1 << 60) -> list[int]:
         """Exact encoding: again and again join the leftmost adjacent pair of least rank (under ``below``)."""
         n = len(word)
@@ -325,8 +303,19 @@ class Encoder:
         return [None if ps is None else np.frombuffer(b"".join(map(get, ps)), np.int32) for ps in found]
 
 
-def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str:
-    return b"".join(map(vocabulary.tokens.__getitem__, ids)).decode("utf-8", "replace")
+def same_bytes(vocabulary: Vocabulary, flat: np.ndarray, at: np.ndarray, texts: pa.Array) -> np.ndarray:
+    """For each text, whether its ids (``flat`` from one of ``at`` to the next) decode to its very bytes."""
+    made, size = vocabulary.decode(flat)
+    ends = np.concatenate([[0], np.cumsum(size)])[at]
+    want, offsets = flat_bytes(texts)
+    same = np.diff(ends) == np.diff(offsets)
+    if np.array_equal(ends, offsets):
+        wrong = np.flatnonzero(made != want)
+        same[np.searchsorted(offsets, wrong, side="right") - 1] = False
+        return same
+    for k in np.flatnonzero(same):
+        same[k] = np.array_equal(made[ends[k] : ends[k + 1]], want[offsets[k] : offsets[k + 1]])
+    return same
 
 
 _encoders: dict[str, Encoder] = {}
@@ -350,13 +339,13 @@ def encode(text: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:
             for piece in slices(texts):
                 given = piece.to_pylist()
                 ids = encoder.encode(given)
-                back = [None if x is None else decode_ids(encoder.vocabulary, x.tolist()) == t for x, t in zip(ids, given)]
                 sizes = np.array([0 if x is None else len(x) for x in ids], np.int64)
                 gaps = np.array([x is None for x in ids])
                 at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, np.int32), *[x for x in ids if x is not None]])
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array(gaps))
-                parts.append(pa.StructArray.from_arrays([pa.array(sizes, pa.int64(), mask=gaps), lists, pa.array(back, pa.bool_())], names=ENCODED))
+                back = pa.array(same_bytes(encoder.vocabulary, flat, at, piece), pa.bool_(), mask=gaps)
+                parts.append(pa.StructArray.from_arrays([pa.array(sizes, pa.int64(), mask=gaps), lists, back], names=ENCODED))
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("n_tokens", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())]))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
@@ -368,12 +357,13 @@ def decode(ids: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:
     shared = _shared(vocabulary)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = _encoder(vocabulary, shared).vocabulary.tokens
+        words = _encoder(vocabulary, shared).vocabulary
         for lists in batches:
-            flat, at = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)))]).astype(np.int64)
-            gaps = lists.is_null().to_pylist()
-            get = tokens.__getitem__
-            yield pa.array([None if gap else b"".join(map(get, flat[a:b].tolist())).decode("utf-8", "replace") for gap, a, b in zip(gaps, at[:-1], at[1:])], pa.string())
+            made, size = words.decode(lists.flatten().to_numpy(zero_copy_only=False))
+            count = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            at = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(count)])].tolist()
+            raw = made.tobytes()
+            yield pa.array([None if gap else raw[a:b].decode("utf-8", "replace") for gap, a, b in zip(lists.is_null().to_pylist(), at[:-1], at[1:])], pa.string())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "string")(ids)

@@ -43,6 +43,34 @@ def with_struct(df: DataFrame, made: Column, names: list[str]) -> DataFrame:
     return df.withColumn(hidden, made).select(*kept, *[F.col(f"{hidden}.{n}").alias(n) for n in names])
 
 
+def hash_below(key: str, share: float) -> Column:
+    """Whether the row's key falls into ``share`` of the range of a 64-bit hash, however small the share is."""
+    if share >= 1:
+        return F.col(key).isNotNull()
+    return F.xxhash64(key) < F.lit(int(share * 2**64) - 2**63)
+
+
+def hash_sample(df: DataFrame, key: str, rows: int, of: int | None = None) -> DataFrame:
+    """About ``rows`` of the ``of`` rows of ``df`` (all if it has no more), chosen by a hash of ``key``; their number doesn't grow with ``df``."""
+    return df.where(hash_below(key, rows / max(1, df.count() if of is None else of)))
+
+
+def forest_of(n: int, p: np.ndarray, q: np.ndarray, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of the nodes 0..n-1 that pairs (p, q) join to a lesser one; ``label`` holds and takes roots between calls."""
+    label = np.arange(n) if label is None else label
+    while len(p):
+        x, y = label[p], label[q]
+        apart = x != y
+        if not apart.any():
+            break
+        p, q, x, y = p[apart], q[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(onward := label[label], label):
+            label[:] = onward
+    at = np.flatnonzero(label != np.arange(n))
+    return at, label[at]
+
+
 def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """Cut a string array into runs of about ``size`` bytes, at least one text each."""
     n = len(texts)
@@ -75,6 +103,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+class IntMap:
+    """Immutable map from non-negative int64 to int32 with vectorised lookup (open addressing)."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        todo, slot = np.arange(len(keys)), self.slot(keys)
+        while len(todo):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[todo[free]]
+            placed = self.keys[slot] == keys[todo]
+            self.values[slot[placed]] = values[todo[placed]]
+            todo, slot = todo[~placed], (slot[~placed] + 1) & (len(self.keys) - 1)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values of the keys, -1 where absent."""
+        slot = self.slot(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.values[slot], -1)
+        on = np.flatnonzero((held != keys) & (held >= 0))
+        while len(on):
+            slot[on] = (slot[on] + 1) & (len(self.keys) - 1)
+            held = self.keys[slot[on]]
+            hit = held == keys[on]
+            out[on[hit]] = self.values[slot[on[hit]]]
+            on = on[~hit & (held >= 0)]
+        return out
+
+
 _BASE = 0xD1342543DE82EF95
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _BYTE = mix64(np.arange(256, dtype=U64) + U64(77))
@@ -93,28 +153,38 @@ def _power(base: int, n: int) -> np.ndarray:
     return have
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words (runs of bytes above 0x20) and, per text, n + 1 word offsets."""
-    buf, offsets = flat_bytes(pc.utf8_lower(texts))
+def spans(buf: np.ndarray, offsets: np.ndarray, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes marked ``solid``; no run goes on from one text to the next."""
     n = len(buf)
-    if n == 0:
-        return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
-    solid = np.empty(n + 1, dtype=bool)
-    np.greater(buf, 32, out=solid[:n])
-    solid[n] = False
+    solid = np.append(solid, False)
     begins = np.zeros(n + 1, dtype=bool)
     begins[offsets] = True
     prev = np.empty(n + 1, dtype=bool)
     prev[0] = False
     prev[1:] = solid[:n]
-    starts = np.flatnonzero(solid & (~prev | begins))
-    ends = np.flatnonzero(prev & (~solid | begins))
-    sums = np.empty(n + 1, dtype=U64)
-    sums[0] = 0
-    np.cumsum(_BYTE[buf] * _power(_BASE, n)[:n], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * _power(_BASE_INV, n)[starts]
-    hashes = mix64(raw ^ (ends - starts).astype(U64))
-    return hashes, np.searchsorted(starts, offsets)
+    return np.flatnonzero(solid & (~prev | begins)), np.flatnonzero(prev & (~solid | begins))
+
+
+class SpanHash:
+    """64-bit hashes of any spans of a byte array, from its prefix sums."""
+
+    def __init__(self, buf: np.ndarray):
+        self.sums = np.empty(len(buf) + 1, dtype=U64)
+        self.sums[0] = 0
+        np.cumsum(_BYTE[buf] * _power(_BASE, len(buf))[: len(buf)], out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        raw = (self.sums[ends] - self.sums[starts]) * _power(_BASE_INV, len(self.sums))[starts]
+        return mix64(raw ^ (ends - starts).astype(U64))
+
+
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased words (runs of bytes above 0x20) and, per text, n + 1 word offsets."""
+    buf, offsets = flat_bytes(pc.utf8_lower(texts))
+    if len(buf) == 0:
+        return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
+    starts, ends = spans(buf, offsets, buf > 32)
+    return SpanHash(buf).of(starts, ends), np.searchsorted(starts, offsets)
 
 
 _GRAM = [U64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -163,6 +233,25 @@ def distinct_ngrams(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(doc, np.arange(len(at)))
 
 
+def runs(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iterator[pa.Table]:
+    """Regroup batches sorted by ``key`` into tables of ``least`` rows, about, so that no key is split between two."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch["key"].to_numpy(zero_copy_only=False)
+        last = int(np.searchsorted(key, key[-1]))
+        if last == 0 and held and held[-1]["key"][-1].as_py() == key[0] or rows + last < least:
+            held.append(batch)
+            rows += batch.num_rows
+            continue
+        yield pa.Table.from_batches([*held, batch.slice(0, last)])
+        held, rows = [batch.slice(last)], batch.num_rows - last
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of a graph: (node, root), root being the least node of the component.
 

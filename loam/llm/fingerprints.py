@@ -13,6 +13,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,11 @@ def densify(minima: np.ndarray, empty: np.ndarray) -> np.ndarray:
     return out
 
 
+def checked(bins: int, bits: int) -> None:
+    if bins < 2 or not 1 <= bits <= 32:
+        raise ValueError("a fingerprint needs two bins at least and 1 to 32 bits a bin")
+
+
 def sketch(texts: pa.Array, bins: int, bits: int, shingle: int) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
     h, at = ngrams(texts, shingle)
     n = len(texts)
@@ -57,14 +63,15 @@ def sketch(texts: pa.Array, bins: int, bits: int, shingle: int) -> tuple[np.ndar
     np.minimum.at(minima, where, low)
     minima = minima.reshape(n, bins)
     empty = minima == full
-    kept = (densify(minima, empty) & U64((1 << bits) - 1)).astype(np.uint8)
-    planes = ((kept[:, :, None] >> np.arange(bits, dtype=np.uint8)) & 1).reshape(n, bins * bits)
+    kept = densify(minima, empty) & U64((1 << bits) - 1)
+    planes = (kept[:, :, None] >> np.arange(bits, dtype=U64) & U64(1)).astype(np.uint8).reshape(n, bins * bits)
     packed = np.packbits(planes, axis=1, bitorder="little")
     return np.diff(at), empty.sum(axis=1), [None if e else p.tobytes() for e, p in zip(empty.all(axis=1), packed)]
 
 
 def fingerprint(text: Column, bins: int = BINS, bits: int = BITS, shingle: int = SHINGLE) -> Column:
     """Struct column (n_shingles, n_empty_bins, fingerprint) of a text column."""
+    checked(bins, bits)
     kind = pa.struct([("n_shingles", pa.int64()), ("n_empty_bins", pa.int32()), ("fingerprint", pa.binary())])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -92,18 +99,25 @@ def document_fingerprints(docs: DataFrame, text: str = "text", bins: int = BINS,
 
 def estimate_jaccard(a: Column, b: Column, bins: int = BINS, bits: int = BITS) -> Column:
     """Jaccard estimate of two fingerprints: (share of equal bins - 2^-bits) / (1 - 2^-bits), within 0 and 1; null if either is."""
+    checked(bins, bits)
 
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([None if p is None or q is None else estimate(p, q, bins, bits) for p, q in zip(x.to_pylist(), y.to_pylist())], pa.float64())
+        sound = pc.and_(x.is_valid(), y.is_valid()).to_numpy(zero_copy_only=False)
+        out = np.zeros(len(sound))
+        if sound.any():
+            at = pa.array(np.flatnonzero(sound))
+            out[sound] = estimates(*(np.frombuffer(b"".join(z.take(at).to_pylist()), np.uint8).reshape(int(sound.sum()), -1) for z in (x, y)), bins, bits)
+        return pa.array(out, mask=~sound)
 
     run.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "double")(a, b)
 
 
-def estimate(p: bytes, q: bytes, bins: int = BINS, bits: int = BITS) -> float:
-    x, y = (np.unpackbits(np.frombuffer(s, np.uint8), bitorder="little")[: bins * bits].reshape(bins, bits) for s in (p, q))
+def estimates(x: np.ndarray, y: np.ndarray, bins: int, bits: int) -> np.ndarray:
+    """Estimates of rows of packed fingerprints: the bins whose XOR is all zero, less those expected by chance."""
+    apart = np.unpackbits(x ^ y, axis=1, bitorder="little", count=bins * bits).reshape(-1, bins, bits)
     chance = 2.0**-bits
-    return float(np.clip(((x == y).all(axis=1).mean() - chance) / (1 - chance), 0, 1))
+    return np.clip(((~apart.any(axis=2)).mean(axis=1) - chance) / (1 - chance), 0, 1)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,18 +20,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import slices, table, with_struct, words
+from loam.llm.common import hash_sample, slices, table, with_struct, words
 
-#: Pages that the labeller is fitted on, about; chosen by a hash of their id.
-TRAIN_PAGES = 300
+#: Pages that the labeller is fitted on, about, chosen by a hash of their id; pages of more characters are not fitted on.
+TRAIN_PAGES, TRAIN_CHARS = 300, 200_000
 PATH_DIM, WORD_DIM, SIZE_DIM, HIDDEN = 32, 64, 5, 24
 EPOCHS, RATE, SEED = 8, 0.01, 5
 #: Blocks of one training sequence; longer pages are fitted on in pieces, but always labelled whole.
 TRAIN_BLOCKS = 256
 #: Blocks labelled side by side, padding included.
 SIDE_BY_SIDE = 4096
+#: Steps of a long page whose inputs are held at once.
+STEPS_AT_ONCE = 1024
+#: Paths that a worker remembers between pages; weight of a path's names for each level further up.
+REMEMBERED, FADE = 50_000, 0.8
 FIELDS = ["n_blocks", "n_main", "main_text"]
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+#: Every branch ends at the next ``<`` outside of quotes and gives nothing back, so that a page is read once whatever it holds.
+MARKUP = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(script|style|noscript|template|textarea|svg)\b[^<>]*+>.*?(?:</\1\s*+>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^<>]*+)>"
+    r"|<[!?][^<>]*+>",
+    re.S | re.I,
+)
 CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*[\"']?([\w -]+)", re.I)
 INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,9 +51,51 @@ ALONE = frozenset("p li dt dd tr td th option h1 h2 h3 h4 h5 h6".split())
 MAIN, SIDE = frozenset(("article", "main")), frozenset(("nav", "footer", "header", "aside", "head", "form", ".ad", ".ads", ".nav", ".footer", ".sidebar", ".menu"))
 
 
+class Path:
+    """An open element and, by its parents, its tag path; equal paths of all pages are one object while they are remembered."""
+
+    __slots__ = ("parent", "name", "marks", "main", "side", "kids", "vector", "hidden")
+
+    def __init__(self, parent: Path | None, name: str, marks: tuple[str, ...]):
+        self.parent, self.name, self.marks = parent, name, marks
+        names = (name, *marks)
+        self.main = parent is not None and parent.main or not MAIN.isdisjoint(names)
+        self.side = parent is not None and parent.side or not SIDE.isdisjoint(names)
+        self.kids: dict[tuple[str, str], Path] = {}
+        self.vector: np.ndarray | None = None
+        self.hidden: np.ndarray | None = None
+
+
+class Paths:
+    """The tree of the paths met by a worker; begun anew between pages once it has grown over REMEMBERED."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.root, self.size = Path(None, "", ()), 0
+
+    def step(self, at: Path, name: str, attributes: str) -> Path:
+        found = at.kids.get((name, attributes))
+        if found is None:
+            marks = tuple("." + w for x in CLASS.findall(attributes) for w in x.lower().split()) if attributes else ()
+            # Elements that differ in other attributes only are the same step.
+            plain = ("", name + " ".join(marks))
+            found = at.kids.get(plain)
+            if found is None:
+                found = at.kids[plain] = Path(at, name, marks)
+            if len(attributes) <= 200 and len(at.kids) < REMEMBERED:
+                at.kids[name, attributes] = found
+            self.size += 1
+        return found
+
+
+_paths = Paths()
+
+
 @dataclass(slots=True)
 class Block:
-    path: tuple[str, ...]
+    at: Path
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -50,14 +103,26 @@ class Block:
     def text(self) -> str:
         return " ".join(unescape("".join(self.parts)).split())
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Names and marks from the root down."""
+        out, at = [], self.at
+        while at.parent is not None:
+            out.append((at.name, *at.marks))
+            at = at.parent
+        return tuple(n for names in reversed(out) for n in names)
+
 
 def blocks_of(page: str | None) -> list[Block]:
     """Leaf blocks with text, in order; comments, scripts and styles are left out, unclosed tags end with their parent."""
     out: list[Block] = []
     if not page:
         return out
+    if _paths.size > REMEMBERED:
+        _paths.clear()
     stack: list[str] = []
-    names: list[tuple[str, ...]] = [()]
+    opened: dict[str, int] = {}
+    where = _paths.root
     now: Block | None = None
     links = at = 0
 
@@ -66,12 +131,19 @@ def blocks_of(page: str | None) -> list[Block]:
         if now is None:
             if not text.strip():
                 return
-            now = Block(names[-1])
+            now = Block(where)
             out.append(now)
         now.parts.append(text)
         if links:
             now.linked += len(text)
 
+    def leave() -> str:
+        nonlocal where
+        name = stack.pop()
+        opened[name] -= 1
+        where = where.parent
+        return name
+
     for m in MARKUP.finditer(page):
         if m.start() > at:
             add(page[at : m.start()])
@@ -90,17 +162,15 @@ def blocks_of(page: str | None) -> list[Block]:
         now = None
         links = 0
         if m[2]:
-            if name in stack:
-                while stack.pop() != name:
-                    names.pop()
-                names.pop()
+            if opened.get(name):
+                while leave() != name:
+                    pass
         elif name not in VOID:
             if name in ALONE and stack and stack[-1] == name:
-                stack.pop()
-                names.pop()
+                leave()
             stack.append(name)
-            marks = CLASS.findall(m[4]) if m[4] else []
-            names.append((*names[-1], name, *("." + w for x in marks for w in x.lower().split())))
+            opened[name] = opened.get(name, 0) + 1
+            where = _paths.step(where, name, m[4])
     if at < len(page):
         add(page[at:])
     return out
@@ -115,16 +185,25 @@ def _slot(name: str, size: int) -> tuple[int, float]:
     return h % size, 1.0 if h >> 40 & 1 else -1.0
 
 
-@lru_cache(50_000)
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATH_DIM, np.float32)
-    for depth, name in enumerate(reversed(path)):
-        k, sign = _slot(name, PATH_DIM)
-        v[k] += sign / (1 + 0.2 * depth)
-        if depth < 2:
-            k, sign = _slot(f"{depth}:{name}", PATH_DIM)
-            v[k] += sign
-    return v
+def path_vector(at: Path, hide: bool = False) -> np.ndarray:
+    """Hashed names of the path, an element's own mark apart and its parents' fading by FADE a level; ``hide`` leaves out telling names."""
+    kept = "hidden" if hide else "vector"
+    todo = []
+    while at is not None and getattr(at, kept) is None:
+        todo.append(at)
+        at = at.parent
+    for at in reversed(todo):
+        v = np.zeros(2 * PATH_DIM, np.float32)
+        if at.parent is not None:
+            v[:PATH_DIM] = getattr(at.parent, kept)[:PATH_DIM] * FADE
+            for name in (at.name, *at.marks):
+                if not hide or name not in MAIN and name not in SIDE:
+                    for mark, start in ((name, 0), ("0:" + name, PATH_DIM)):
+                        k, sign = _slot(mark, PATH_DIM)
+                        v[start + k] += sign
+        setattr(at, kept, v)
+    v = getattr(todo[0] if todo else at, kept)
+    return v[:PATH_DIM] + v[PATH_DIM:]
 
 
 def vectors(blocks: list[Block], texts: list[str], hide: np.ndarray | None = None) -> np.ndarray:
@@ -134,8 +213,7 @@ def vectors(blocks: list[Block], texts: list[str], hide: np.ndarray | None = Non
     if not n:
         return x
     for k, b in enumerate(blocks):
-        path = b.path if hide is None or not hide[k] else tuple(p for p in b.path if p not in MAIN and p not in SIDE)
-        x[k, :PATH_DIM] = path_vector(path)
+        x[k, :PATH_DIM] = path_vector(b.at, hide is not None and bool(hide[k]))
     h, at = words(pa.array(texts, pa.string()))
     count = np.diff(at)
     slot = np.repeat(np.arange(n), count) * WORD_DIM + (h % np.uint64(WORD_DIM)).astype(np.int64)
@@ -251,6 +329,42 @@ class Labeller:
                     self.w[k] -= (RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
         return self
 
+    def scores(self, pages: list[np.ndarray]) -> np.ndarray:
+        """Probabilities (time, page), both directions run together and nothing kept for a gradient.
+
+        sigmoid(z) = (1 + tanh(z / 2)) / 2, so that one tanh a step does for all gates.
+        """
+        x, y, mask = self.padded(pages)
+        steps, n, size = x.shape
+        halves = np.full(4 * HIDDEN, 0.5, np.float32)
+        halves[3 * HIDDEN :] = 1
+        bias = np.zeros(4 * HIDDEN, np.float32)
+        bias[HIDDEN : 2 * HIDDEN] = 1
+        inputs = [(x, self.w["xf"]), (y, self.w["xb"])]
+        w_h = np.stack([self.w["hf"], self.w["hb"]]) * halves
+        o = np.stack([self.w["o"][:HIDDEN], self.w["o"][HIDDEN : 2 * HIDDEN]])
+        h, c = np.zeros((2, n, HIDDEN), np.float32), np.zeros((2, n, HIDDEN), np.float32)
+        told = np.zeros((steps, 2, n), np.float32)
+        full = mask.all(axis=1)
+        for begin in range(0, steps, STEPS_AT_ONCE):
+            end = min(steps, begin + STEPS_AT_ONCE)
+            z_x = np.stack([(a[begin:end].reshape(-1, size) @ w + bias).reshape(end - begin, n, -1) for a, w in inputs], axis=1) * halves
+            for t in range(begin, end):
+                z = np.tanh(z_x[t - begin] + h @ w_h)
+                gates = 0.5 * z[..., : 3 * HIDDEN] + 0.5
+                new = gates[..., HIDDEN : 2 * HIDDEN] * c + gates[..., :HIDDEN] * z[..., 3 * HIDDEN :]
+                out = gates[..., 2 * HIDDEN :] * np.tanh(new)
+                if full[t]:
+                    h, c = out, new
+                else:
+                    m = mask[t][:, None]
+                    h, c = m * out + (1 - m) * h, m * new + (1 - m) * c
+                told[t] = (h @ o)[:, :, 0]
+        total = told[:, 0] + self.w["o"][-1, 0]
+        for k, p in enumerate(pages):
+            total[: len(p), k] += told[: len(p), 1, k][::-1]
+        return _sigmoid(total)
+
     def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
         """Probability of main text for every block; pages of like length run side by side."""
         out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
@@ -261,7 +375,7 @@ class Labeller:
             while end < len(order) and len(pages[order[end]]) * (end + 1 - at) <= SIDE_BY_SIDE:
                 end += 1
             some = order[at:end]
-            p = self._both([pages[k] for k in some])[-1]
+            p = self.scores([pages[k] for k in some])
             for j, k in enumerate(some):
                 out[k] = p[: len(pages[k]), j]
             at = end
@@ -270,7 +384,7 @@ class Labeller:
 
 def weak_labels(blocks: list[Block]) -> np.ndarray:
     """1 under article or main outside of boilerplate containers, else 0."""
-    return np.array([not MAIN.isdisjoint(b.path) and SIDE.isdisjoint(b.path) for b in blocks], np.float32)
+    return np.array([b.at.main and not b.at.side for b in blocks], np.float32)
 
 
 def fit_pages(pages: list[str], seed: int = SEED) -> Labeller:
@@ -292,11 +406,9 @@ def fit_pages(pages: list[str], seed: int = SEED) -> Labeller:
 
 
 def train(pages: DataFrame, rows: int = TRAIN_PAGES) -> Labeller:
-    """Fit on about ``rows`` pages; only those reach the driver."""
-    sound = pages.where("page_id is not null and html is not null")
-    n = sound.count()
-    spot = F.pmod(F.xxhash64("page_id"), F.lit(1_000_000))
-    chosen = sound.where(spot < int(1_000_000 * min(1.0, rows / max(n, 1))) + 1).select("page_id", "html").collect()
+    """Fit on about ``rows`` pages of up to TRAIN_CHARS characters; only those reach the driver."""
+    sound = pages.where(F.col("page_id").isNotNull() & (F.length("html") <= TRAIN_CHARS))
+    chosen = hash_sample(sound, "page_id", rows).select("page_id", "html").collect()
     return fit_pages([h for _, h in sorted((r["page_id"], r["html"]) for r in chosen)])
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import U64, components, cut, distinct_ngrams, mix64, slices, table, within
+from loam.llm.common import U64, components, cut, distinct_ngrams, forest_of, mix64, runs, slices, table, within
 
 GRAM, THRESHOLD = 3, 0.6
 BLOCKS, SAMPLE, WIDTH = 64, 240, 3.0
@@ -158,25 +158,6 @@ def sketches(docs: DataFrame, gram: int, bands: Bands) -> DataFrame:
     return named.mapInArrow(run, f"doc_id {dict(named.dtypes)['doc_id']}, {SKETCH_DDL}")
 
 
-def runs(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iterator[pa.Table]:
-    """Regroup batches sorted by ``key`` into tables of ``least`` rows, about, so that no key is split between two."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch["key"].to_numpy(zero_copy_only=False)
-        last = int(np.searchsorted(key, key[-1]))
-        if last == 0 and held and held[-1]["key"][-1].as_py() == key[0] or rows + last < least:
-            held.append(batch)
-            rows += batch.num_rows
-            continue
-        yield pa.Table.from_batches([*held, batch.slice(0, last)])
-        held, rows = [batch.slice(last)], batch.num_rows - last
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct rows whose key occurs with more than one id, and each row's tile among the key's; rows are sorted by key and id."""
     for t in runs(batches):
@@ -340,14 +321,7 @@ def verified(threshold: float, pairs: bool) -> Callable[[Iterator[pa.RecordBatch
                         b_out.append(nodes[q[up]])
                         x_out.append(like[p[up], q[up]])
                         continue
-                    while len(p):
-                        x, y = label[p + a], label[q]
-                        apart = x != y
-                        if not apart.any():
-                            break
-                        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
-                        while not np.array_equal(onward := label[label], label):
-                            label = onward
+                    forest_of(m, p + a, q, label)
                 if not pairs:
                     a_out.append(nodes)
                     b_out.append(nodes[label])

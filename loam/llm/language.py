@@ -2,9 +2,11 @@
 
 Each language has a context tree of order 0 to 3 with counts from a bounded sample of labelled documents.
 A byte not seen after a context escapes to the next shorter one (escape method C, with exclusion of the
-bytes already ruled out) and at last to a uniform code.  The statistics are frozen, so the code length of
-a byte depends on its last three predecessors alone and is tabled once, in 1/256 bit; a text's code length
-is an exact integer sum.  The language with the shortest code wins.
+bytes already ruled out) and at last to a uniform code.  The trees are sorted arrays of the contexts and
+of the (context, byte) pairs that occur, so their size follows the samples and not the alphabet.  The
+statistics are frozen, so the code length of a byte depends on its last three predecessors alone; that of
+each (context, byte) that some language has is worked out once for all languages, in 1/256 bit, and a
+text's code length is an exact integer sum.  The language with the shortest code wins.
 """
 
 from __future__ import annotations
@@ -17,109 +19,144 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import flat_bytes, slices, table, with_struct
+from loam.llm.common import IntMap, flat_bytes, hash_below, slices, table, with_struct
 
-#: Labelled documents of each language that the statistics come from (about; chosen by a hash of the id).
-TRAIN_DOCS = 250
+#: Labelled documents of each language that the statistics come from, about, chosen by a hash of the id; those
+#: of more characters are not fitted on, and of the languages only the most frequent are told apart.
+TRAIN_DOCS, TRAIN_CHARS, LANGUAGES = 250, 100_000, 200
 #: Longest code per byte, in bits, with which a text still counts as written in a known language.
 MAX_BITS_PER_BYTE = 7.0
-UNIT = 256
+UNIT, ORDER = 256, 3
 START = b"\n\n\n"
 FIELDS = ["lang_pred", "bits_per_byte", "margin_bits"]
 
 
-def _fallback(counts: np.ndarray, seen: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Probability of each byte once a context has escaped: the shorter context's ``counts`` less the ``seen`` bytes, then ``lower``."""
-    left = np.where(seen, 0, counts)
-    n, d = left.sum(axis=1, keepdims=True), (left > 0).sum(axis=1, keepdims=True)
-    total = n + d
-    escape = np.where(total > 0, d / np.maximum(total, 1), 1.0)
-    return np.where(left > 0, left / np.maximum(total, 1), escape * lower)
+def stream(texts: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last three bytes before each byte of the texts (end to end in ``texts``), as one number, and the byte; START goes before every text."""
+    lengths = np.diff(offsets)
+    full = np.full(len(texts) + ORDER * len(lengths), START[0], np.int64)
+    at = np.arange(len(texts)) + ORDER * np.repeat(np.arange(1, len(lengths) + 1), lengths)
+    full[at] = texts
+    return full[at - 3] << 16 | full[at - 2] << 8 | full[at - 1], full[at]
 
 
-def _probability(counts: np.ndarray, after: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """Probability of each byte in a context; an unseen context has that of the next shorter."""
-    n, d = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
-    total = np.maximum(n + d, 1)
-    return np.where(n > 0, np.where(counts > 0, counts / total, d / total * after), shorter)
+def find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``keys`` and whether they are there."""
+    at = np.minimum(np.searchsorted(sorted_keys, keys), max(0, len(sorted_keys) - 1))
+    return at, (sorted_keys[at] == keys) if len(sorted_keys) else np.zeros(len(keys), bool)
+
+
+class ContextTree:
+    """One language's contexts of order 0 to ORDER: for each its count and number of distinct bytes, and the (context, byte) counts.
+
+    ``rest`` and ``kinds`` are what is left of the next shorter context's count and bytes once those seen in
+    the context itself are excluded.
+    """
+
+    def __init__(self, context: np.ndarray, byte: np.ndarray):
+        self.pairs, self.count, self.contexts, self.total, self.distinct = [], [], [], [], []
+        self.rest, self.kinds = [], []
+        for k in range(ORDER + 1):
+            pairs, count = np.unique((context & (1 << 8 * k) - 1) << 8 | byte, return_counts=True)
+            contexts, first = np.unique(pairs >> 8, return_index=True)
+            sums = lambda x: np.add.reduceat(x, first) if len(x) else x
+            self.pairs.append(pairs)
+            self.count.append(count)
+            self.contexts.append(contexts)
+            self.total.append(sums(count))
+            self.distinct.append(np.diff(np.append(first, len(pairs))))
+            if k:
+                low = contexts & (1 << 8 * (k - 1)) - 1
+                at, _ = find(self.contexts[k - 1], low)
+                seen, _ = find(self.pairs[k - 1], (pairs >> 8 & (1 << 8 * (k - 1)) - 1) << 8 | pairs & 255)
+                self.rest.append(self.total[k - 1][at] - sums(self.count[k - 1][seen]))
+                self.kinds.append(self.distinct[k - 1][at] - self.distinct[k])
+
+    def bits(self, context: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """Code length of each byte after its context."""
+        out, todo = np.zeros(len(byte)), np.arange(len(byte))
+        escaped = np.zeros(len(byte), bool)
+        total, kinds = np.zeros(len(byte)), np.zeros(len(byte))
+        for k in range(ORDER, -1, -1):
+            if not len(todo) or not len(self.contexts[k]):
+                break
+            c = context[todo] & (1 << 8 * k) - 1
+            at, known = find(self.contexts[k], c)
+            fresh = known & ~escaped[todo]
+            total[todo[fresh]], kinds[todo[fresh]] = self.total[k][at[fresh]], self.distinct[k][at[fresh]]
+            escaped[todo[fresh]] = True
+            live = known & (total[todo] > 0)
+            pair, hit = find(self.pairs[k], c << 8 | byte[todo])
+            hit &= live
+            done, on = todo[hit], todo[live & ~hit]
+            out[done] += np.log2((total[done] + kinds[done]) / self.count[k][pair[hit]])
+            out[on] += np.log2((total[on] + kinds[on]) / kinds[on])
+            if k:
+                total[todo[known]], kinds[todo[known]] = self.rest[k - 1][at[known]], self.kinds[k - 1][at[known]]
+            todo = todo[~hit]
+        if len(todo):
+            out[todo] += np.log2(256 - len(self.pairs[0]))
+        return out
 
 
 @dataclass(frozen=True)
 class ContextModel:
-    """``symbol``: byte to symbol; ``context``: last three symbols to row; ``cost``: (row, symbol) to each language's code length."""
+    """The trees of all languages, and the code lengths in each of every (context, byte) that one of them has."""
 
     languages: tuple[str, ...]
-    symbol: np.ndarray
-    context: np.ndarray
+    trees: tuple[ContextTree, ...]
+    place: IntMap
     cost: np.ndarray
 
     @classmethod
     def build(cls, samples: dict[str, list[bytes]]) -> ContextModel:
         languages = tuple(sorted(samples))
-        texts = {lang: np.frombuffer(b"".join(START + t for t in samples[lang]) or START, np.uint8) for lang in languages}
-        used = np.unique(np.concatenate([np.frombuffer(START, np.uint8), *texts.values()]))
-        size = len(used) + 1
-        symbol = np.full(256, size - 1, np.int32)
-        symbol[used] = np.arange(len(used))
-        codes = {}
-        for lang, t in texts.items():
-            s = symbol[t].astype(np.int64)
-            at = np.arange(3, len(s))
-            codes[lang] = (((s[at - 3] * size + s[at - 2]) * size + s[at - 1]), s[at])
-        triples = np.unique(np.concatenate([np.zeros(0, np.int64), *[c for c, _ in codes.values()]]))
-        context = np.arange(size**3, dtype=np.int64) % (size * size)
-        context[triples] = size * size + np.arange(len(triples))
-        tables = []
+        trees = []
         for lang in languages:
-            c, s = codes[lang]
-            pair, single = c % (size * size), c % size
-            n3 = np.bincount(np.searchsorted(triples, c) * size + s, minlength=len(triples) * size).reshape(-1, size).astype(np.int32)
-            n2 = np.bincount(pair * size + s, minlength=size**3).reshape(-1, size).astype(np.int32)
-            n1 = np.bincount(single * size + s, minlength=size**2).reshape(-1, size).astype(np.int32)
-            n0 = np.bincount(s, minlength=size).reshape(1, size).astype(np.int32)
-            r0 = np.full((1, size), 1 / (256 - (n0 > 0).sum()))
-            p0 = _probability(n0, r0, np.full((1, size), 1 / 256))
-            r1 = _fallback(n0, n1 > 0, r0)
-            p1 = _probability(n1, r1, p0)
-            of2 = np.arange(size * size) % size
-            r2 = _fallback(n1[of2], n2 > 0, r1[of2])
-            p2 = _probability(n2, r2, p1[of2])
-            of3 = triples % (size * size)
-            r3 = _fallback(n2[of3], n3 > 0, r2[of3])
-            p3 = _probability(n3, r3, p2[of3])
-            tables.append(np.round(-np.log2(np.maximum(np.concatenate([p2, p3]), 2.0**-60)) * UNIT).astype(np.int16))
-        cost = np.stack(tables, axis=-1).reshape(-1, len(languages)) if languages else np.zeros((0, 0), np.int16)
-        return cls(languages, symbol, (context * size).astype(np.int32), cost)
+            offsets = np.cumsum([0, *map(len, samples[lang])])
+            trees.append(ContextTree(*stream(np.frombuffer(b"".join(samples[lang]), np.uint8), offsets)))
+        keys = np.unique(np.concatenate([np.zeros(0, np.int64), *[t.pairs[ORDER] for t in trees]]))
+        cost = np.zeros((len(keys), len(languages)), np.int16)
+        for k, t in enumerate(trees):
+            cost[:, k] = cls.rounded(t.bits(keys >> 8, keys & 255))
+        return cls(languages, tuple(trees), IntMap(keys, np.arange(len(keys))), cost)
+
+    @staticmethod
+    def rounded(bits: np.ndarray) -> np.ndarray:
+        return np.round(np.minimum(bits, 60) * UNIT).astype(np.int16)
 
     def code_lengths(self, texts: pa.Array) -> np.ndarray:
         """(text, language) code lengths in 1/256 bit."""
         buf, offsets = flat_bytes(texts)
-        size = int(self.symbol.max()) + 1
         lengths = np.diff(offsets)
-        s = np.full(len(buf) + 3 * len(lengths), self.symbol[ord("\n")], np.int32)
-        shift = 3 * np.repeat(np.arange(1, len(lengths) + 1), lengths)
-        at = np.arange(len(buf)) + shift
-        s[at] = self.symbol[buf]
-        row = (s[:-3] * size + s[1:-2]) * size + s[2:-1]
-        costs = self.cost[self.context[row[at - 3]] + s[at]]
         sums = np.zeros((len(lengths), len(self.languages)), np.int64)
         full = np.flatnonzero(lengths)
-        if len(full):
-            sums[full] = np.add.reduceat(costs, offsets[:-1][full], axis=0, dtype=np.int64)
+        if not len(full):
+            return sums
+        context, byte = stream(buf, offsets)
+        key = context << 8 | byte
+        at = self.place.get(key)
+        costs = self.cost[at] if len(self.cost) else np.zeros((len(at), len(self.languages)), np.int16)
+        lost = np.flatnonzero(at < 0)
+        if len(lost):
+            keys, back = np.unique(key[lost], return_inverse=True)
+            for k, t in enumerate(self.trees):
+                costs[lost, k] = self.rounded(t.bits(keys >> 8, keys & 255))[back]
+        sums[full] = np.add.reduceat(costs, offsets[:-1][full], axis=0, dtype=np.int64)
         return sums
 
 
 def train(docs: DataFrame, per_language: int = TRAIN_DOCS) -> ContextModel:
-    """Statistics from about ``per_language`` documents of each value of ``lang``, whole texts; null langs are left out.
+    """Statistics from about ``per_language`` documents of each of the LANGUAGES most frequent values of ``lang``, whole texts of up to TRAIN_CHARS characters.
 
-    A language's share of the hash range is set from its count, so that no text is sorted or shuffled.
+    Null langs are left out.  A language's share of the hash range is set from its count, so that no text is
+    sorted or shuffled.
     """
-    labelled = docs.where("lang is not null and text is not null and doc_id is not null")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= TRAIN_CHARS))
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     chosen = F.lit(False)
     for lang, n in sorted(counts.items()):
-        chosen |= (F.col("lang") == lang) & (spot < int(1_000_000 * min(1.0, per_language / n)) + 1)
+        chosen |= (F.col("lang") == lang) & hash_below("doc_id", per_language / n)
     samples: dict[str, list[tuple]] = {lang: [] for lang in counts}
     for r in labelled.where(chosen).select("lang", "doc_id", "text").collect():
         samples[r["lang"]].append((r["doc_id"], r["text"].encode()))
@@ -172,7 +209,7 @@ def identify_language(docs: DataFrame, model: ContextModel) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in a known language, with its own columns."""
+    """The rows of ``docs`` in a known language, with its own columns; null and empty texts go, repeats stay, an empty table gives an empty one."""
     return docs.where(predict(F.col("text"), train(docs))["lang_pred"] != "und")
 
 

@@ -19,6 +19,8 @@ KEEP = 0.7
 #: Default targets: each value's share of tokens to this power, then normalised, which lifts rare values.
 TEMPER = 0.7
 ROUNDS, SEED, NONE = 50, 7, "(none)"
+#: Cells up to which their probabilities are broadcast (some 10 MB); more are joined by their keys, as Spark sees fit.
+BROADCAST_CELLS = 100_000
 DIMS = ("source", "lang", "topic")
 FIELDS = ["topic", "tokens", "probability", "kept"]
 
@@ -92,13 +94,15 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
     p = probabilities(mass, rake(mass, indexes, shares), keep) if cells else np.zeros(0)
     rows = [(*c[:3], float(x)) for c, x in zip(cells, p)]
     chances = docs.sparkSession.createDataFrame(rows, ", ".join(f"{h} string" for h in hidden) + ", __loam_p__ double")
+    if len(rows) <= BROADCAST_CELLS:
+        chances = F.broadcast(chances)
     drawn = draw(F.col("doc_id"), text, seed) < F.col("__loam_p__")
     made = F.struct(F.col(hidden[2]).alias("topic"), words.alias("tokens"), F.round("__loam_p__", 6).alias("probability"), drawn.alias("kept"))
     return with_struct(named.join(chances, hidden, "left"), made, FIELDS).drop(*hidden, "__loam_p__")
 
 
 def keep_mixed(docs: DataFrame) -> DataFrame:
-    """The drawn rows of ``docs``, with its own columns."""
+    """The drawn rows of ``docs``, with its own columns; nulls, repeats, ties and empty tables as in ``mix``."""
     return mix(docs.withColumn("__loam_row__", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))).where("kept").select("__loam_row__.*")
 
 

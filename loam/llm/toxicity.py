@@ -1,76 +1,75 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse word features.
 
 P(grade <= k | x) = 1 / (1 + exp(w.x - theta_k)) with one weight vector w for all thresholds
-theta_0 < theta_1 < ...; x marks the words of a text and their prefixes of 4 and 5 characters.  The model
-is fitted on a bounded sample of labelled rows, less near copies, by proximal gradient steps with an L1
-penalty on the features that tell the labels apart; whole texts are scored.
+theta_0 < theta_1 < ...; x marks the words of a text and their prefixes of 4 and 5 bytes, as 64-bit hashes.
+Labels of 0 and 1 become three grades: 0 not toxic, 2 toxic with at least the median number of occurrences of
+toxic-sided words, 1 the rest; a held-out test compares expected severity with those numbers.
+The model is fitted on a bounded sample of labelled rows, less near copies, by proximal gradient steps with
+an L1 penalty on the features that tell toxic documents from others; whole texts are scored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import ngrams, slices, table, with_struct
+from loam.llm.common import U64, IntMap, SpanHash, flat_bytes, ngrams, slices, spans, table, with_struct
 
-#: Labelled rows of each label that are fitted on, chosen by a hash of their id.
-TRAIN_ROWS = 2500
+#: Labelled rows of each label that are fitted on, chosen by a hash of their id; texts of more characters are not fitted on.
+TRAIN_ROWS, TRAIN_CHARS = 2500, 20_000
 #: Documents of at least this expected severity are rejected.
 REJECT_AT = 0.4
 MIN_DOCS, MIN_Z, L1, STEPS = 4, 5.0, 1e-4, 500
-WHOLE = "w"
 FIELDS = ["severity", "grade", "toxic"]
-WORD = re.compile(r"[^\W_]+").findall
-
-
-def word_features(word: str) -> tuple[str, ...]:
-    """The word and its prefixes of 4 and 5 characters, told apart by a mark."""
-    n = len(word)
-    return (WHOLE + word, "4" + word[:4], "5" + word[:5]) if n > 5 else (WHOLE + word, "4" + word[:4]) if n > 4 else (WHOLE + word,)
-
-
-class Vocabulary:
-    """Features of training texts as numbers, so that a feature's string is held once."""
-
-    def __init__(self) -> None:
-        self.number: dict[str, int] = {}
-
-    def of(self, text: str) -> np.ndarray:
-        """The text's features, each once, ascending."""
-        number = self.number
-        found = {number.setdefault(f, len(number)) for w in set(WORD(text.lower())) for f in word_features(w)}
-        return np.sort(np.fromiter(found, np.int32, len(found)))
-
-    def counts(self, found: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
-        """Texts of ``chosen`` that have each feature."""
-        some = [f for f, c in zip(found, chosen) if c]
-        return np.bincount(np.concatenate([np.zeros(0, np.int32), *some]), minlength=len(self.number))
+#: Bytes of words: letters, digits and all of more than one byte.
+WORD_BYTE = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+_KINDS = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """(text, feature) of every word, then of its prefixes of 4 and 5 bytes if it has more, with repeats; and how many are words."""
+    buf, offsets = flat_bytes(pc.utf8_lower(texts))
+    if not len(buf):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    starts, ends = spans(buf, offsets, WORD_BYTE[buf])
+    text = np.searchsorted(offsets, starts, side="right") - 1
+    hashed = SpanHash(buf)
+    found = [(text, hashed.of(starts, ends) ^ _KINDS[0])]
+    for size, kind in ((4, _KINDS[1]), (5, _KINDS[2])):
+        long = ends - starts > size
+        found.append((text[long], hashed.of(starts[long], starts[long] + size) ^ kind))
+    return np.concatenate([t for t, _ in found]), (np.concatenate([f for _, f in found]) >> U64(1)).astype(np.int64), len(starts)
 
 
 @dataclass(frozen=True)
 class OrdinalModel:
-    """Word weights shared by all thresholds, and the ascending thresholds; grades are 0..len(thresholds)."""
+    """Feature weights shared by all thresholds, and the ascending thresholds; grades are 0..len(thresholds)."""
 
-    weights: dict[str, float]
+    place: IntMap
+    weights: np.ndarray
     thresholds: tuple[float, ...]
 
-    def score(self, text: str, seen: dict[str, tuple[str, ...]]) -> float:
-        """Sum of the weights of the text's features; ``seen`` keeps the weighted features of words met before."""
-        found = set()
-        for w in set(WORD(text.lower())):
-            known = seen.get(w)
-            if known is None:
-                if len(seen) > 400_000:
-                    seen.clear()
-                known = seen[w] = tuple(f for f in word_features(w) if f in self.weights)
-            found.update(known)
-        return sum(self.weights[f] for f in sorted(found))
+    @classmethod
+    def of(cls, keys: np.ndarray, weights: np.ndarray, thresholds: tuple[float, ...]) -> OrdinalModel:
+        return cls(IntMap(keys, np.arange(len(keys))), weights, thresholds)
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """Sum of the weights of each text's features, each once."""
+        out = []
+        for piece in slices(texts):
+            text, feature, _ = features(piece)
+            at = self.place.get(feature).astype(np.int64)
+            hit = at >= 0
+            width = max(1, len(self.weights))
+            pairs = np.unique(text[hit] * width + at[hit])
+            out.append(np.bincount(pairs // width, self.weights[pairs % width] if len(pairs) else None, minlength=len(piece)))
+        return np.concatenate([np.zeros(0), *out])
 
     def severity(self, scores: np.ndarray) -> np.ndarray:
         """Expected grade: the sum over thresholds of P(grade > k)."""
@@ -85,44 +84,44 @@ class OrdinalModel:
         return np.diff(edges, axis=1).argmax(axis=1)
 
 
-def graded(found: list[np.ndarray], toxic: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
-    """Grades of 0/1 labels: 0 not toxic, 2 toxic with at least the median number of toxic-sided words, 1 the rest.
-
-    A word is toxic-sided if it occurs in ten times the share of toxic documents than of others.
-    """
-    bad, good = vocabulary.counts(found, toxic == 1), vocabulary.counts(found, toxic == 0)
+def occurrences(text: np.ndarray, word: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Each text's number of toxic-sided words, those in ten times the share of toxic texts than of others; (text, word) with repeats."""
+    keys, word = np.unique(word, return_inverse=True)
+    width = max(1, len(keys))
+    once = np.unique(text * width + word)
+    seen = np.bincount(once % width, minlength=len(keys))
+    bad = np.bincount(once % width, toxic[once // width], minlength=len(keys))
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    whole = np.fromiter((f[0] == WHOLE for f in vocabulary.number), bool, len(vocabulary.number))
-    sided = whole & (bad >= MIN_DOCS) & (bad / n1 > 10 * (good + 0.5) / n0)
-    count = np.array([int(sided[f].sum()) for f in found])
+    sided = (bad >= MIN_DOCS) & (bad / n1 > 10 * (seen - bad + 0.5) / n0)
+    return np.bincount(text, sided[word], minlength=len(toxic)).astype(np.int64)
+
+
+def graded(count: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Grades 0, 1 and 2 of 0/1 labels."""
     median = np.median(count[toxic == 1]) if (toxic == 1).any() else 0
     return np.where(toxic == 1, np.where(count >= max(1, median), 2, 1), 0)
 
 
-def select_features(found: list[np.ndarray], toxic: np.ndarray, vocabulary: Vocabulary) -> dict[str, int]:
-    """Numbers, in order of name, of the features whose shares of toxic and of other documents differ by at least MIN_Z standard errors."""
-    c0, c1 = (vocabulary.counts(found, toxic == k) for k in (0, 1))
-    n0, n1 = (max(1, int((toxic == k).sum())) for k in (0, 1))
-    p = (c0 + c1) / (n0 + n1)
-    good = (c0 + c1 >= MIN_DOCS) & (np.abs(c1 / n1 - c0 / n0) >= MIN_Z * np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1)))
-    return {f: k for f, k in sorted(vocabulary.number.items()) if good[k]}
-
+def fit(text: np.ndarray, feature: np.ndarray, grades: np.ndarray, weight: np.ndarray) -> OrdinalModel:
+    """Fit weights and thresholds to distinct (text, feature) pairs; with fewer than two grades present every text scores grade 0.
 
-def fit(found: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, vocabulary: Vocabulary) -> OrdinalModel:
-    """Fit weights and thresholds; with fewer than two grades present every text scores grade 0."""
+    Only features whose shares of toxic and of other texts differ by at least MIN_Z standard errors count.
+    """
     if len(set(grades.tolist())) < 2:
-        return OrdinalModel({}, (50.0,))
-    top, n = int(grades.max()), len(found)
-    chosen = select_features(found, (grades > 0).astype(int), vocabulary)
-    column = {f: i for i, f in enumerate(chosen)}
-    place = np.full(len(vocabulary.number), -1)
-    place[list(chosen.values())] = np.arange(len(chosen))
-    at = [place[f] for f in found]
-    rows, cols = np.repeat(np.arange(n), [int((a >= 0).sum()) for a in at]), np.concatenate([a[a >= 0] for a in at])
+        return OrdinalModel.of(np.zeros(0, np.int64), np.zeros(0), (50.0,))
+    top, n = int(grades.max()), len(grades)
+    keys, cols, seen = np.unique(feature, return_inverse=True, return_counts=True)
+    bad = np.bincount(cols, grades[text] > 0, minlength=len(keys))
+    n1 = max(1, int((grades > 0).sum()))
+    n0 = max(1, n - n1)
+    p = seen / (n0 + n1)
+    good = (seen >= MIN_DOCS) & (np.abs(bad / n1 - (seen - bad) / n0) >= MIN_Z * np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1)))
+    held = good[cols]
+    rows, cols, keys = text[held], (np.cumsum(good) - 1)[cols[held]], keys[good]
     weight = weight / weight.sum()
     share = np.clip([weight[grades <= k].sum() for k in range(top)], 1e-4, 1 - 1e-4)
     theta = np.maximum.accumulate(np.log(share / (1 - share)))
-    w, m, v = np.zeros(len(column)), np.zeros(len(column) + top), np.zeros(len(column) + top)
+    w, m, v = np.zeros(len(keys)), np.zeros(len(keys) + top), np.zeros(len(keys) + top)
     here = np.arange(n)
     for step in range(1, STEPS + 1):
         score = np.bincount(rows, w[cols], minlength=n)
@@ -140,35 +139,53 @@ def fit(found: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, vocabul
         w = w - move[: len(w)]
         w = np.sign(w) * np.maximum(0, np.abs(w) - rate[: len(w)] * L1)
         theta = np.maximum.accumulate(theta - move[len(w) :])
-    return OrdinalModel({f: float(w[i]) for f, i in column.items() if abs(w[i]) > 1e-3}, tuple(float(t) for t in theta))
+    kept = np.abs(w) > 1e-3
+    return OrdinalModel.of(keys[kept], w[kept], tuple(float(t) for t in theta))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> OrdinalModel:
-    """Fit on at most ``rows`` labelled documents of each label; null labels and texts are left out.
+    """Fit on at most ``rows`` labelled documents of each label, of up to TRAIN_CHARS characters.
 
-    The sample is weighted back to the labels' true shares.  Only ids and labels are sorted; the texts of the
-    chosen ids (at most 2 * ``rows``, hence the broadcast) come from one filtered scan.
+    Null ids, labels and texts are left out; of a document with several labels the worst counts.  The sample
+    is weighted back to the labels' true shares.  Only ids and labels are sorted; the texts of the chosen ids
+    (at most 2 * ``rows``, hence the broadcast) come from one filtered scan.
     """
     marked = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = [marked.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for t in (0, 1)]
-    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    sample = docs.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
     got = sorted({(r["doc_id"], r["text"], r["toxic"]) for r in sample.collect()})
-    return fit_labelled([t for _, t, _ in got], np.array([t for _, _, t in got], int), totals)
+    return fit_labelled([t for _, t, _ in got], np.array([g for _, _, g in got], int), totals)
 
 
 def fit_labelled(texts: list[str], toxic: np.ndarray, totals: dict[int, int]) -> OrdinalModel:
-    """Fit 0/1 labels; of texts with one least shingle hash, as copies have, only the first counts."""
-    first = []
-    for k in range(0, len(texts), 200):
-        h, at = ngrams(pa.array(texts[k : k + 200]), 3)
+    """Fit texts with 0/1 labels; of those with one least shingle hash, as copies have, only the first counts.  ``totals``: documents of each label."""
+    first, found, words, begin = [], [], [], 0
+    for piece in slices(pa.array(texts, pa.string())):
+        h, at = ngrams(piece, 3)
         first += [int(h[a:b].min()) if b > a else -1 for a, b in zip(at[:-1], at[1:])]
+        text, feature, whole = features(piece)
+        words.append((text[:whole] + begin, feature[:whole]))
+        order = np.lexsort((feature, text))
+        text, feature = text[order], feature[order]
+        once = np.ones(len(text), bool)
+        once[1:] = (text[1:] != text[:-1]) | (feature[1:] != feature[:-1])
+        found.append((text[once] + begin, feature[once]))
+        begin += len(piece)
+    if not found:
+        return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, int), np.zeros(0))
     seen: set[int] = set()
-    kept = [k for k, x in enumerate(first) if not (x in seen or seen.add(x))]
-    vocabulary = Vocabulary()
-    toxic, found = toxic[kept], [vocabulary.of(texts[k]) for k in kept]
+    kept = np.array([not (x in seen or seen.add(x)) for x in first], bool)
+    number = np.cumsum(kept) - 1
+
+    def of_kept(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        text, feature = (np.concatenate(z) for z in zip(*pairs))
+        return number[text[kept[text]]], feature[kept[text]]
+
+    toxic = toxic[kept]
+    grades = graded(occurrences(*of_kept(words), toxic), toxic)
     share = {t: totals.get(t, 0) / max(1, (toxic == t).sum()) for t in (0, 1)}
-    return fit(found, graded(found, toxic, vocabulary), np.array([share[t] for t in toxic.tolist()], float), vocabulary)
+    return fit(*of_kept(found), grades, np.array([share[t] for t in toxic.tolist()], float))
 
 
 def score(text: Column, model: OrdinalModel) -> Column:
@@ -177,12 +194,8 @@ def score(text: Column, model: OrdinalModel) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        seen: dict[str, tuple[str, ...]] = {}
         for texts in batches:
-            sums = []
-            for piece in slices(texts):
-                sums += [model.score(t, seen) if t else 0.0 for t in piece.to_pylist()]
-            sums = np.array(sums, float)
+            sums = model.scores(texts)
             severity = np.round(model.severity(sums), 9)
             yield pa.StructArray.from_arrays([pa.array(severity), pa.array(model.grades(sums), pa.int32()), pa.array(severity >= REJECT_AT)], names=FIELDS)
 
@@ -201,7 +214,7 @@ def grade_toxicity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
 
 def keep_mild(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not toxic, with its own columns."""
+    """The rows of ``docs`` that are not toxic, with its own columns; null and empty texts and repeats stay, an empty table gives an empty one."""
     return docs.where(~score(F.col("text"), train(docs, labels))["toxic"])
 
 

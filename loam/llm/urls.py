@@ -17,10 +17,6 @@ from pyspark.sql import functions as F
 
 from loam.llm.common import cut, table, with_struct
 
-#: Tokens told apart along a path, what lies deeper being one token, ``**``; in the SQL only, whose tables have no such path.
-DEPTH = 5
-#: More distinct children than this are variable; in the SQL only, whose tables have no such node.
-CHILDREN = 20
 #: Standard errors within which a child's bad share is like its siblings'.
 ALIKE_Z = 2.0
 #: Weight, in labels, of the overall share in a template's purity; purity from which a template is rejected.
@@ -61,7 +57,7 @@ def templates(patterns: DataFrame) -> DataFrame:
     final = []
     todo = patterns.select("host", "key", F.array().cast("array<string>").alias("done"), F.col("tokens").alias("rest"), "labelled", "bad")
     while True:
-        at = todo.withColumn("parent", F.array_join("done", "/"))
+        at = todo.withColumn("parent", F.col("done"))
         longest = at.groupBy("host", "parent").agg(F.max_by("rest", F.size("rest")).alias("ref"))
         apart = F.array_position(F.zip_with("rest", "ref", lambda x, y: F.coalesce(x != y, F.lit(False))), F.lit(True))
         at = at.join(longest, ["host", "parent"]).withColumn("apart", F.nullif(apart, F.lit(0).cast("long"))).drop("ref")
@@ -96,11 +92,10 @@ def filter_urls(pages: DataFrame, label: Column, url: str = "url") -> DataFrame:
     distinct patterns of a host, not on its URLs, by aggregations and joins, so no host is held in one task.
     """
     given = F.nullif(F.trim(F.col(url)), F.lit(""))
-    marked = pages.withColumns({"__loam_label__": label, "__loam_host__": host_of(given), "__loam_key__": F.array_join(tokens_of(given), "/")})
+    marked = pages.withColumns({"__loam_label__": label, "__loam_host__": host_of(given), "__loam_key__": tokens_of(given)})
     small = marked.where(given.isNotNull()).groupBy(F.col("__loam_host__").alias("host"), F.col("__loam_key__").alias("key")).agg(F.count("__loam_label__").alias("labelled"), F.coalesce(F.sum("__loam_label__"), F.lit(0)).cast("long").alias("bad"))
     small = cut(small)
-    tokens = F.when(F.col("key") == "", F.array().cast("array<string>")).otherwise(F.split("key", "/"))
-    grown = templates(small.select("host", "key", tokens.alias("tokens"), "labelled", "bad"))
+    grown = templates(small.select("host", "key", F.col("key").alias("tokens"), "labelled", "bad"))
     named = grown.withColumn("template", F.concat("host", F.lit("/"), F.array_join("tokens", "/")))
     whole = small.agg(F.coalesce(F.sum("bad") / F.nullif(F.sum("labelled"), F.lit(0)), F.lit(0.0)).alias("overall"))
     sums = named.groupBy("template").agg(F.sum("labelled").alias("n_labelled"), F.sum("bad").alias("n_bad")).crossJoin(whole)
@@ -125,45 +120,40 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages.select("page_id", "url", weak_label(F.col("url"), F.col("html")).alias("bad_label")), F.col("bad_label"))
 
 
-def _level(d: int) -> str:
-    share = "((p_bad + 1)::double / (p_lab + 2))"
-    return f"""
-at{d} as (select *, array_to_string(tokens[1:{d - 1}], '/') as parent, tokens[{d}] as token from lev{d - 1}),
-kids{d} as (select host, parent, token, sum(labelled)::bigint as c_lab, sum(bad)::bigint as c_bad from at{d} where token is not null group by all),
-every{d} as (select host, parent, count(*) as kids, sum(c_lab)::bigint as p_lab, sum(c_bad)::bigint as p_bad from kids{d} group by all),
-like{d} as (select k.*, case when kids > {CHILDREN} or c_lab = 0
-    or abs(c_bad::double / nullif(c_lab, 0) - {share}) <= {ALIKE_Z} * sqrt({share} * (1 - {share}) / nullif(c_lab, 0)) then '*'
-    when c_bad::double / nullif(c_lab, 0) < {share} then '*-' else '*+' end as starred
-  from kids{d} k join every{d} using (host, parent)),
-merged{d} as (select host, parent, token, starred from like{d}
-  qualify count(*) over (partition by host, parent, starred) > 1),
-lev{d} as (select a.host, a.key, a.labelled, a.bad,
-    case when m.token is not null then tokens[1:{d - 1}] || [starred] || tokens[{d + 1}:] else tokens end as tokens
-  from at{d} a left join merged{d} m on a.host = m.host and a.parent = m.parent and a.token = m.token),"""
-
-
 _STARRED_SQL = "lower(x)"
 for _p in STARRED:
     _STARRED_SQL = f"regexp_replace({_STARRED_SQL}, '{_p}', '*', 'g')"
 
 URLS_SQL = f"""
-with marked as (
-  select page_id, url, lower(regexp_extract(url, '{SCHEME}([^/?#:]*)', 1)) as host,
-    list_transform(list_filter(string_split(regexp_extract(url, '{SCHEME}[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> ''), lambda x: {_STARRED_SQL}) as segments,
-    list_sort(list_distinct(list_filter(list_transform(string_split(regexp_extract(url, '^[^#?]*[?]([^#]*)', 1), '&'), lambda p: lower(split_part(p, '=', 1))), lambda n: n <> '' and not starts_with(n, 'utm_')))) as names,
+with recursive marked as (
+  select page_id, url, given, lower(regexp_extract(given, '{SCHEME}([^/?#:]*)', 1)) as host,
+    list_transform(list_filter(string_split(regexp_extract(given, '{SCHEME}[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> ''), lambda x: {_STARRED_SQL}) as segments,
+    list_sort(list_distinct(list_filter(list_transform(string_split(regexp_extract(given, '^[^#?]*[?]([^#]*)', 1), '&'), lambda p: lower(split_part(p, '=', 1))), lambda n: n <> '' and not starts_with(n, 'utm_')))) as names,
     case when regexp_matches(lower(url), '{SEEDS}') or len(regexp_extract_all(html, '{JUNK}')) * 40 > length(html) then 1 when html is not null then 0 end as bad_label
-  from pages
+  from (select *, nullif(trim(url), '') as given from pages)
 ), listed as (
   select *, case when len(names) > 0 then segments || ['?' || array_to_string(names, '&')] else segments end as every from marked
 ), rows as (
-  select page_id, url, bad_label, host, case when len(every) > {DEPTH} then every[1:{DEPTH}] || ['**'] else every end as tokens from listed
+  select page_id, url, given, bad_label, host, every as tokens from listed
 ), lev0 as (
-  select host, array_to_string(tokens, '/') as key, tokens, count(bad_label) as labelled, coalesce(sum(bad_label), 0)::bigint as bad from rows group by host, tokens
-),{"".join(map(_level, range(1, DEPTH + 2)))}
-named as (select *, host || '/' || array_to_string(tokens, '/') as template from lev{DEPTH + 1}),
+  select host, tokens as key, tokens, count(bad_label) as labelled, coalesce(sum(bad_label), 0)::bigint as bad from rows where given is not null group by host, tokens
+), walk as (
+  select 0 as d, host, key, tokens, labelled, bad from lev0
+  union all
+  select d + 1, host, key, case when alike > 1 then tokens[1:d] || [starred] || tokens[d + 2:] else tokens end, labelled, bad
+  from (select *, count(distinct token) over (partition by host, parent, starred) as alike from (
+    select *, (p_bad + 1)::double / (p_lab + 2) as share, case when c_lab = 0
+        or abs(c_bad::double / nullif(c_lab, 0) - (p_bad + 1)::double / (p_lab + 2)) <= {ALIKE_Z} * sqrt((p_bad + 1)::double / (p_lab + 2) * (1 - (p_bad + 1)::double / (p_lab + 2)) / nullif(c_lab, 0)) then '*'
+        when c_bad::double / nullif(c_lab, 0) < (p_bad + 1)::double / (p_lab + 2) then '*-' else '*+' end as starred
+    from (
+      select *, sum(labelled) over (partition by host, parent, token) as c_lab, sum(bad) over (partition by host, parent, token) as c_bad,
+        sum(labelled) over (partition by host, parent) as p_lab, sum(bad) over (partition by host, parent) as p_bad
+      from (select *, tokens[1:d] as parent, tokens[d + 1] as token from walk where len(tokens) > d))))
+),
+named as (select *, host || '/' || array_to_string(tokens, '/') as template from walk where d = len(tokens)),
 whole as (select coalesce(sum(bad)::double / nullif(sum(labelled), 0), 0.0) as overall from lev0),
 sums as (select template, sum(labelled)::bigint as n_labelled, sum(bad)::bigint as n_bad from named group by all),
 verdict as (select host, key, template, n_labelled, (n_bad + {PRIOR} * overall) / (n_labelled + {PRIOR}) as p from named join sums using (template), whole)
 select r.page_id, r.url, r.bad_label, v.template, v.n_labelled, round(v.p, 6) as purity, coalesce(v.p >= {REJECT_AT}, false) as rejected
-from rows r left join verdict v on r.host = v.host and array_to_string(r.tokens, '/') = v.key
+from rows r left join verdict v on r.given is not null and r.host = v.host and r.tokens = v.key
 """
