@@ -1,4 +1,10 @@
-"""The corpus pipeline: documents less the toxic, the unidentifiable and the near copies, mixed and encoded."""
+"""The corpus pipeline: documents less the toxic, the unidentifiable and the near copies, mixed and encoded.
+
+Nulls, empty texts, repeated rows and ties: the toxic and the near-copy stages keep null and empty texts, the
+language stage drops them, as they are in no language; rows with a null id are kept as documents of their
+own; of rows that share an id one is left after the near copies.  An empty table stays empty throughout, and
+extra columns pass through, but for any named as an output of the encoding, which replaces it.
+"""
 
 from __future__ import annotations
 
@@ -43,10 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, cut after each but the last."""
+    """All stages over the documents table, cut after those whose rows the next one reads more than once."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
-        if (name, stage) != STAGES[-1]:
+        if name not in ("mixing", "encoding"):
             docs = cut(docs)
     return docs
