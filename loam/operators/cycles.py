@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
+
+from loam.operators.graph import groups_of
+from loam.operators.review import with_position
 
 
 def shortest_cycle(successors: dict) -> list:
@@ -84,14 +90,19 @@ def explain_cycles(components: DataFrame, edges: DataFrame, node: str = "node")
     inner = edges.select("src", "dst", weight.cast("long").alias("weight")).join(cyclic, "src").join(cyclic.withColumnsRenamed({"src": "dst", "component": "other"}), "dst").where("component = other")
     kind = dict(components.dtypes)[node]
 
-    def explain(pdf: pd.DataFrame) -> pd.DataFrame:
-        weights = pdf.groupby(["src", "dst"])["weight"].sum().to_dict()
-        successors: dict = {}
-        for a, b in sorted(weights):
-            successors.setdefault(a, []).append(b)
-        members = sorted({n for e in weights for n in e})
-        cuts = feedback_edges(members, weights)
-        return pd.DataFrame([(pdf["component"].iloc[0], members, shortest_cycle(successors), [list(c) for c in cuts])], columns=["component", "members", "witness", "cuts"])
-
-    made = inner.groupBy("component").applyInPandas(explain, f"component {kind}, members array<{kind}>, witness array<{kind}>, cuts array<array<{kind}>>")
-    return made.withColumn("number", F.row_number().over(Window.orderBy("component")).cast("long"))
+    schema = to_arrow_schema(_parse_datatype_string(f"component {kind}, members array<{kind}>, witness array<{kind}>, cuts array<array<{kind}>>"))
+
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in groups_of(batches, "component"):
+            weights: dict[tuple, int] = {}
+            for a, b, w in zip(part["src"], part["dst"], part["weight"]):
+                weights[a, b] = weights.get((a, b), 0) + w
+            successors: dict = {}
+            for a, b in sorted(weights):
+                successors.setdefault(a, []).append(b)
+            members = sorted({n for e in weights for n in e})
+            row = {"component": part["component"][0], "members": members, "witness": shortest_cycle(successors), "cuts": [list(c) for c in feedback_edges(members, weights)]}
+            yield pa.RecordBatch.from_pylist([row], schema)
+
+    made = inner.select("component", "src", "dst", "weight").repartition("component").sortWithinPartitions("component").mapInArrow(explain, f"component {kind}, members array<{kind}>, witness array<{kind}>, cuts array<array<{kind}>>")
+    return with_position(made, F.col("component"), name="number")

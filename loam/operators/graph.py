@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from loam.functions.scalars import node_id
 from loam.lineage import cut
@@ -136,25 +141,110 @@ def tarjan(nodes: list, successors: dict) -> list[list]:
     return out
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
+#: Edges of a weakly connected part up to which one task solves it; larger parts are solved by distributed rounds.
+PART_EDGES = 1_000_000
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, list]]:
+    """The columns of each group of rows of equal ``key``; rows are sorted by it."""
+    held: dict[str, list] = {}
+    for batch in batches:
+        columns = batch.to_pydict()
+        keys, low = columns[key], 0
+        for at in range(1, len(keys) + 1):
+            if at < len(keys) and keys[at] == keys[low]:
+                continue
+            part = {c: v[low:at] for c, v in columns.items()}
+            if held and held[key][0] == part[key][0]:
+                for c, v in part.items():
+                    held[c] += v
+            else:
+                if held:
+                    yield held
+                held = part
+            low = at
+    if held:
+        yield held
+
+
+def solved_parts(node: str, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for part in groups_of(batches, "root"):
+            successors: dict = {}
+            for a, b in sorted(zip(part["src"], part["dst"])):
+                successors.setdefault(a, []).append(b)
+            for c in tarjan(sorted({*part["src"], *part["dst"]}), successors):
+                cyclic, least = len(c) > 1 or c[0] in successors.get(c[0], ()), min(c)
+                rows += [(n, least, len(c), cyclic) for n in c]
+            if len(rows) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run
+
+
+def coloured_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the ends of the edges, by rounds of trimming, forward colouring and backward search.
+
+    A node without an edge in or out is a component of its own.  Of the rest each takes the least node that
+    reaches it as its colour; the nodes of a colour that reach the node it is named after are its component.
+    """
+    found = []
+    rest = cut(edges.where("src <> dst"))
+    left = cut(edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct())
+    while not rest.isEmpty():
+        live = cut(rest.select(F.col("src").alias("node")).intersect(rest.select(F.col("dst").alias("node"))))
+        if live.count() < left.count():
+            found.append(left.join(live, "node", "left_anti").select("node", F.col("node").alias("component")))
+            left, rest = live, cut(view(rest, live))
+            continue
+        colour = left.select("node", F.col("node").alias("colour"))
+        while True:
+            met = colour.select(F.col("node").alias("src"), F.col("colour").alias("got")).join(rest, "src").groupBy(F.col("dst").alias("node")).agg(F.min("got").alias("got"))
+            new = cut(colour.join(met, "node", "left").select("node", F.least("colour", F.coalesce("got", "colour")).alias("colour"), F.col("colour").alias("old")))
+            colour = new.select("node", "colour")
+            if new.where("colour <> old").isEmpty():
+                break
+        of = lambda x: colour.select(F.col("node").alias(x), F.col("colour").alias(f"{x}_colour"))
+        inner = cut(rest.join(of("src"), "src").join(of("dst"), "dst").where("src_colour = dst_colour").select("src", "dst", F.col("src_colour").alias("colour")))
+        member = front = cut(colour.where("node = colour"))
+        while not front.isEmpty():
+            front = cut(front.select(F.col("node").alias("dst"), "colour").join(inner, ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct().join(member, ["node", "colour"], "left_anti"))
+            member = cut(member.unionByName(front))
+        found.append(member.select("node", F.col("colour").alias("component")))
+        left = cut(left.join(member, "node", "left_anti"))
+        rest = cut(view(rest, left))
+    found.append(left.select("node", F.col("node").alias("component")))
+    return cut(reduce(DataFrame.unionByName, found))
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame, node: str = "node", part_edges: int = PART_EDGES) -> DataFrame:
     """(node, component, size, cyclic): component is the least member; cyclic with several members or an edge to itself.
 
-    Weakly connected parts are found by distributed label propagation; each part is then solved by Tarjan's
-    algorithm in one task, so a part must fit a worker's memory.  Nodes without edges are components of one.
+    A graph of up to ``part_edges`` edges is one part; of a larger one the weakly connected parts are found by
+    distributed label propagation.  Parts of up to ``part_edges`` edges are solved by Tarjan's algorithm, many
+    in a task; larger ones by distributed rounds.  Nodes without edges are components of one.
     """
     once = cut(edges.select("src", "dst").distinct())
     kind = dict(nodes.dtypes)[node]
-    parts = once.join(weak_components(once).select(F.col("node").alias("src"), "root"), "src", "left").withColumn("root", F.coalesce("root", "src"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        successors: dict = {}
-        for a, b in sorted(zip(pdf["src"], pdf["dst"])):
-            successors.setdefault(a, []).append(b)
-        loops = {a for a, bs in successors.items() if a in bs}
-        found = tarjan(sorted(set(pdf["src"]) | set(pdf["dst"])), successors)
-        return pd.DataFrame([(n, min(c), len(c), len(c) > 1 or n in loops) for c in found for n in c], columns=[node, "component", "size", "cyclic"])
-
-    solved = parts.groupBy("root").applyInPandas(solve, f"{node} {kind}, component {kind}, size long, cyclic boolean")
+    if once.count() <= part_edges:
+        parts = once.withColumn("root", F.lit(None).cast(kind))
+    else:
+        parts = cut(once.join(weak_components(once).select(F.col("node").alias("src"), "root"), "src", "left").withColumn("root", F.coalesce("root", "src")))
+    large = cut(parts.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > part_edges).select("root"))
+    schema = to_arrow_schema(_parse_datatype_string(f"{node} {kind}, component {kind}, size long, cyclic boolean"))
+    small = parts.join(large, "root", "left_anti").repartition("root").sortWithinPartitions("root")
+    solved = small.mapInArrow(solved_parts(node, schema), f"{node} {kind}, component {kind}, size long, cyclic boolean")
+    if not large.isEmpty():
+        big = cut(parts.join(large, "root", "left_semi").select("src", "dst"))
+        named = coloured_components(big)
+        loops = big.where("src = dst").select(F.col("src").alias("node"), F.lit(True).alias("loop"))
+        sizes = named.groupBy("component").agg(F.count("*").alias("size"))
+        solved = solved.unionByName(named.join(sizes, "component").join(loops, "node", "left").select(F.col("node").alias(node), "component", "size", ((F.col("size") > 1) | F.coalesce("loop", F.lit(False))).alias("cyclic")))
+    solved = cut(solved)
     alone = nodes.select(node).distinct().join(solved.select(node), node, "left_anti")
     return solved.unionByName(alone.select(node, F.col(node).alias("component"), F.lit(1).cast("long").alias("size"), F.lit(False).alias("cyclic")))
 
@@ -177,10 +267,31 @@ def stable_ids(nodes: DataFrame, *order: Column, letter: str = "n") -> DataFrame
 
 
 def suggestions(requests: DataFrame, names: DataFrame, n: int = 3, request: str = "request", name: str = "name") -> DataFrame:
-    """For each request the ``n`` names of least edit distance, ties by name; exact hits have distance 0."""
-    asked, known = requests.select(request).distinct(), names.select(name).distinct()
-    near = asked.crossJoin(known).withColumn("distance", F.levenshtein(F.col(request), F.col(name)).cast("long"))
-    return near.withColumn("position", F.row_number().over(Window.partitionBy(request).orderBy("distance", name))).where(F.col("position") <= n)
+    """For each request the ``n`` names of least edit distance, ties by name; exact hits have distance 0.
+
+    Two names are as far apart as their lengths at least.  So a request meets names of about its own length by
+    equi-join, and those of other lengths in later rounds, only as long as they could be among its nearest.
+    """
+    asked = cut(requests.select(request).distinct().withColumn("__long__", F.length(request)))
+    known = cut(names.select(name).distinct().withColumn("__long__", F.length(name)))
+    lengths = [r[0] for r in known.select("__long__").distinct().collect()]
+    found, todo, off, to = None, asked, 0, 4
+    far = max([abs(a - b) for a in lengths for b in [r[0] for r in asked.select("__long__").distinct().collect()]], default=-1)
+    while off <= far:
+        sides = todo.withColumn("__long__", F.explode(F.array_distinct(F.concat(*[F.array(F.col("__long__") - k, F.col("__long__") + k) for k in range(off, to)]))))
+        near = sides.join(known, "__long__").select(request, name, F.levenshtein(F.col(request), F.col(name)).cast("long").alias("distance"))
+        found = near if found is None else found.unionByName(near)
+        best = found.withColumn("position", F.row_number().over(Window.partitionBy(request).orderBy("distance", name))).where(F.col("position") <= n)
+        found = cut(best.select(request, name, "distance"))
+        off, to = to, 3 * to
+        # Those whose worst kept distance is under the least that is left are done.
+        done = found.groupBy(request).agg(F.count("*").alias("n"), F.max("distance").alias("worst")).where((F.col("n") == n) & (F.col("worst") < off))
+        todo = cut(todo.join(done.select(request), request, "left_anti"))
+        if todo.isEmpty():
+            break
+    if found is None:
+        return asked.join(known.select(name), F.lit(False)).select(request, name, F.lit(0).cast("long").alias("distance"), F.lit(0).alias("position"))
+    return found.withColumn("position", F.row_number().over(Window.partitionBy(request).orderBy("distance", name)))
 
 
 def hierarchy(members: DataFrame, segments: Column, member: str) -> DataFrame:

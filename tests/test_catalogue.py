@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from loam.operators import graph
 from loam.plans.catalogue import ORACLES, QUERIES
@@ -47,3 +48,63 @@ def test_cuts_leave_no_cycle(spark, small):
     for r in explained:
         walk = list(map(int, r["witness"].split(">")))
         assert walk[0] == walk[-1] and all(e in edges for e in zip(walk, walk[1:]))
+
+
+def test_strong_components_of_large_parts_match_those_of_small_ones(spark):
+    import random
+
+    rng = random.Random(3)
+    edges = {(rng.randrange(90), rng.randrange(90)) for _ in range(110)} | {(k, k + 1) for k in range(100, 130)} | {(130, 118), (104, 104), (200, 201)}
+    nodes = spark.createDataFrame([(k,) for k in range(205)], "node long")
+    df = spark.createDataFrame(sorted(edges), "src long, dst long")
+    rest: dict = {}
+    for a, b in sorted(edges):
+        rest.setdefault(a, []).append(b)
+    want = {n: (min(c), len(c), len(c) > 1 or n in rest.get(n, ())) for c in graph.tarjan(range(205), rest) for n in c}
+    for limit in (0, 5, 1000):
+        got = {r["node"]: tuple(r)[1:] for r in graph.strong_components(nodes, df, part_edges=limit).collect()}
+        assert got == want, limit
+    named = df.select(F.concat(F.lit("n"), "src").alias("src"), F.concat(F.lit("n"), "dst").alias("dst"))
+    assert graph.strong_components(nodes.select(F.concat(F.lit("n"), "node").alias("node")), named).where("cyclic").count() == sum(c for _, _, c in want.values())
+
+
+def test_explanations_are_shortest_and_number_their_components(spark):
+    """Against all closed walks of a small graph, and the greedy order's cuts."""
+    from itertools import permutations
+
+    from loam.operators import cycles
+
+    edges = [("a", "b", 2), ("b", "c", 1), ("c", "a", 1), ("b", "a", 1), ("d", "e", 1), ("e", "f", 3), ("f", "d", 1), ("x", "x", 1), ("c", "d", 1)]
+    df = spark.createDataFrame(edges, "src string, dst string, weight long")
+    nodes = spark.createDataFrame([(n,) for n in "abcdefxyz"], "node string")
+    got = cycles.explain_cycles(graph.strong_components(nodes, df), df).orderBy("number").collect()
+    there = {(a, b) for a, b, _ in edges}
+    assert [(r["number"], r["component"], r["members"]) for r in got] == [(1, "a", ["a", "b", "c"]), (2, "d", ["d", "e", "f"]), (3, "x", ["x"])]
+    for r in got:
+        walks = [[*w, w[0]] for n in range(1, 4) for w in permutations(r["members"], n) if all(e in there for e in zip(w, [*w[1:], w[0]]))]
+        assert r["witness"] == min(walks, key=lambda w: (len(w), w))
+        left = there - {tuple(c) for c in r["cuts"]}
+        assert not [w for n in range(1, 4) for w in permutations(r["members"], n) if all(e in left for e in zip(w, [*w[1:], w[0]]))]
+
+
+def test_suggestions_are_the_nearest_of_all_names(spark):
+    names = ["a", "ab", "abc", "abcd", "xyz", "abcdefghijkl", "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzz", "abd", "b"]
+    asked = ["abc", "", "abcdefghijklm", "q" * 29]
+
+    def far(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = _next(row, i, x, b)
+        return row[-1]
+
+    def _next(row, i, x, b):
+        out = [i]
+        for j, y in enumerate(b, 1):
+            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
+        return out
+
+    for n in (1, 3, 20):
+        got = graph.suggestions(spark.createDataFrame([(a,) for a in asked], "request string"), spark.createDataFrame([(x,) for x in names], "name string"), n)
+        want = {(a, x, d, k) for a in asked for k, (d, x) in enumerate(sorted((far(a, x), x) for x in names)[:n], 1)}
+        assert {(r["request"], r["name"], r["distance"], r["position"]) for r in got.collect()} == want
+    assert graph.suggestions(spark.createDataFrame([("a",)], "request string"), spark.createDataFrame([], "name string")).count() == 0
