@@ -19,9 +19,9 @@ def name_of(path: Column) -> Column:
 
 
 def extension_of(path: Column) -> Column:
-    """Lower-cased extension of the file name; ``[none]`` without one.  A leading dot starts no extension."""
+    """Lower-cased extension of the file name; ``[none]`` without one, ``[non-utf8]`` if it holds an encoded byte.  A leading dot starts no extension."""
     found = F.lower(F.regexp_extract(name_of(path), r"\A.+\.([^.]+)\z", 1))
-    return F.when(found == "", "[none]").otherwise(found)
+    return F.when(found == "", "[none]").when(found.rlike("%[89a-f][0-9a-f]"), "[non-utf8]").otherwise(found)
 
 
 def language_of(path: Column) -> Column:
@@ -39,6 +39,22 @@ def is_test_path(path: Column) -> Column:
     return F.exists(parts, lambda p: p.isin("test", "tests")) | (name == "conftest.py") | name.startswith("test_") | name.endswith("_test.py")
 
 
+def forward(path: Column) -> Column:
+    """A relative path with forward slashes."""
+    return F.translate(path, "\\", "/")
+
+
+def short_name(node: Column) -> Column:
+    """What a reader calls a graph node: the last part of a module or symbol, without its path."""
+    return F.element_at(F.split(F.split_part(node, F.lit("@"), F.lit(1)), "::|[.:]"), -1)
+
+
+def subtitle(node: Column) -> Column:
+    """The path of a local node, the kind of any other."""
+    kind = F.split_part(node, F.lit(":"), F.lit(2))
+    return F.when(F.contains(node, F.lit("@")), F.element_at(F.split(node, "@"), -1)).otherwise(kind)
+
+
 def path_key(path: Column) -> Column:
     """Sort key of paths: component-wise, so that a/b.py precedes a.py."""
     return F.split(path, "/")

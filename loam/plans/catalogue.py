@@ -386,14 +386,4 @@ def identity_keys(t):
     return t("supplier").select("s_suppkey", F.when(kind == "local", local).otherwise(S.identity(kind, F.lit("python"), name)).alias("identity"))
 
 
-@query("select user_id, count(*) filter (event_type = 'click') as click, count(*) filter (event_type = 'view') as view, count(*) filter (event_type = 'purchase') as purchase, count(*) as total from events group by 1")
-def symbol_kind_pivot(t):
-    kinds = ["click", "view", "purchase"]
-    per = t("events").groupBy("user_id").pivot("event_type", kinds).agg(F.count(F.lit(1)))
-    every = t("events").groupBy("user_id").agg(F.count("*").alias("total"))
-    return per.na.fill(0, kinds).join(every, "user_id")
-
-
-@query("select count(*) filter (event_type = 'click') as clicks, count(*) filter (value > 50) as large, count(*) filter (event_type <> 'click' and value <= 50) as rest, count(*) as total from events")
-def context_counters(t):
-    return t("events").agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("value") > 50).alias("large"), F.count_if((F.col("event_type") != "click") & (F.col("value") <= 50)).alias("rest"), F.count("*").alias("total"))
+from loam.plans import code  # noqa: E402, F401  (registers the queries over source code)

@@ -6,55 +6,114 @@ import tomllib
 from dataclasses import dataclass
 from pathlib import Path, PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.functions import scalars as S
 from loam.lineage import cut
 from loam.operators import coverage, cycles, graph, inventory, resolve, review
-from loam.sources import lines, pyfacts, repo
+from loam.sources import analyzers, lines, pyfacts, repo
 from loam.sources.policy import Policy
 from loam.sources.rules import DEFAULT_RULES, Rule
 
 
+class GraphError(ValueError):
+    """A graph whose relations don't fit its nodes."""
+
+
 @dataclass
 class Project:
-    """Tables of one repository; ``facts`` holds the nested facts of its Python files."""
+    """Tables of one repository; ``chosen`` are the files that the selection kept and ``facts`` the nested facts of the Python files among them."""
 
     entries: DataFrame
     files: DataFrame
+    chosen: DataFrame
     facts: DataFrame
 
     def table(self, kind: str) -> DataFrame:
         return pyfacts.table_of(self.facts, kind)
 
 
-def load(spark: SparkSession, root: str, rules: list[Rule] | None = None, include: list[str] | None = None, match: list[str] | None = None, exact: bool = False) -> Project:
-    """Scan, classify and read a repository.  ``match`` keeps the files that fully match one of its patterns."""
-    entries = cut(repo.inventory(spark, root, include, exact))
-    files = inventory.classify(repo.files_of(entries), inventory.rules_frame(spark, rules or DEFAULT_RULES))
-    if (clash := files.where("conflict").select("path").first()) is not None:
+def classified(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """Files with category and language; a file that two categories claim with equal rank is an error."""
+    out = cut(inventory.classify(files, inventory.rules_frame(files.sparkSession, rules or DEFAULT_RULES)).withColumn("language", S.language_of(F.col("path"))))
+    if (clash := out.where("conflict").select("path").first()) is not None:
         raise ValueError(f"two categories claim {clash['path']} with equal rank")
-    files = cut(files.withColumn("language", S.language_of(F.col("path"))))
+    return out
+
+
+def load(spark: SparkSession, root: str, rules: list[Rule] | None = None, include: list[str] | None = None, match: list[str] | None = None, exact: bool = False) -> Project:
+    """Scan, classify and read a repository, or one file of it.  ``match`` keeps the files that fully match one of its patterns."""
+    if Path(root).is_file():
+        if match or include:
+            raise ValueError("a single file takes neither --match nor --include-ignored")
+        entries = cut(repo.single(spark, root))
+        language = entries.select(S.language_of(F.col("path")).alias("language")).first()["language"]
+        analyzers.REGISTRY.of(language, root)
+    else:
+        entries = cut(repo.inventory(spark, root, include, exact))
+    files = classified(repo.files_of(entries), rules)
     chosen = files
     if match:
         hit = F.lit(False)
         for p in match:
             hit = hit | S.full_match(F.col("path"), p)
-        chosen = files.where(hit)
+        chosen = cut(files.where(hit))
         if chosen.isEmpty():
             raise ValueError(f"no file matches {', '.join(match)}")
-    facts = cut(pyfacts.analyze(repo.with_bytes(chosen.where("language = 'python'"))))
-    return Project(entries, files, facts)
+    facts = cut(analyzers.REGISTRY.analyze(repo.with_bytes, chosen))
+    return Project(entries, files, chosen, facts)
+
+
+def of_sources(sources: DataFrame, rules: list[Rule] | None = None) -> Project:
+    """A project from a table of (path, bytes) instead of a folder."""
+    files = classified(sources.select("path"), rules)
+    facts = cut(pyfacts.analyze(sources.where(S.language_of(F.col("path")) == "python")))
+    return Project(files.select("path", F.lit("file").alias("entry"), F.lit("standard").alias("state")), files, files, facts)
 
 
 def line_totals(project: Project) -> DataFrame:
-    """Physical lines by language and over all (language null)."""
-    content = repo.with_bytes(project.files.where("language is not null")).withColumn("language", S.language_of(F.col("path")))
+    """Physical lines of the selected files by language and over all (language null)."""
+    content = repo.with_bytes(project.chosen.where("language is not null")).withColumn("language", S.language_of(F.col("path")))
     kinds = ("total", "source", "comment", "blank")
     return lines.line_counts(content).rollup("language").agg(F.count("*").alias("files"), *[F.sum(k).alias(k) for k in kinds])
 
 
+def analyzer_counts(project: Project) -> DataFrame:
+    """One row for each analyzer that ran: files analyzed, successful, partial and failed."""
+    status = F.col("status")
+    return project.facts.groupBy(F.lit("python").alias("language")).agg(F.count("*").alias("analyzed"), *[F.count_if(status == x).alias(x) for x in ("successful", "partial", "failed")])
+
+
+def review_coverage(project: Project) -> DataFrame:
+    """One row: files by how far they could be reviewed, and callables with and without a score."""
+    known = F.col("language").isNotNull()
+    files = project.chosen.agg(F.count_if(known).alias("selected_language_files"), F.count_if(known & (F.col("language") != "python")).alias("unsupported_selected_files"))
+    status = project.facts.agg(F.count("*").alias("analyzed_files"), *[F.count_if(F.col("status") == x).alias(f"{x}_files") for x in ("successful", "partial", "failed")])
+    scores = pyfacts.measurements(project.table("symbols")).where("metric = 'cyclomatic-complexity'")
+    calls = scores.agg(F.count("*").alias("eligible_callables"), F.count("value").alias("measured_callables"), F.count_if(F.col("value").isNull()).alias("unavailable_callables"))
+    # Three rows of one row each.
+    return files.join(status, F.lit(True)).join(calls, F.lit(True))
+
+
+def symbol_kinds(project: Project) -> DataFrame:
+    """One row: symbols of each kind, and imports."""
+    one = project.table("symbols").agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in (("module", "modules"), ("class", "classes"), ("function", "functions"), ("method", "methods"), ("lambda", "lambdas"))])
+    return one.join(project.table("imports").agg(F.count("*").alias("imports")), F.lit(True))
+
+
+def import_contexts(imports: DataFrame) -> DataFrame:
+    """One row: imports that are type-only, optional, local to a callable and conditional."""
+    return imports.agg(*[F.count_if(F.expr(test)).alias(name.replace("-", "_")) for name, test in EXCLUSIONS.items()])
+
+
+def excerpts(spans: DataFrame, files: DataFrame) -> DataFrame:
+    """``spans`` (path, line, end_line, ...) with ``source``, the text of those lines, both ends included; null where the file isn't among ``files`` (path, bytes)."""
+    text = files.select("path", F.split(F.decode("bytes", "UTF-8"), "\n").alias("__lines__"))
+    cut_out = F.array_join(F.slice("__lines__", F.greatest(F.col("line"), F.lit(1)).cast("int"), F.greatest(F.col("end_line") - F.col("line") + 1, F.lit(0)).cast("int")), "\n")
+    return spans.join(text, "path", "left").withColumn("source", cut_out).drop("__lines__")
+
+
 def eligible_symbols(symbols: DataFrame, tests: bool = False) -> DataFrame:
     """Symbols that documentation is expected of: modules, their direct classes and functions, direct methods of these; overload groups once."""
     up = symbols.select(F.col("path").alias("p"), F.col("id").alias("pid"), F.col("kind").alias("parent_kind"), F.col("direct").alias("parent_direct"), F.col("parent_id").alias("above"))
@@ -74,8 +133,8 @@ def documentation(project: Project, tests: bool = False, percent: int = 80) -> D
     return coverage.coverage(eligible_symbols(project.table("symbols"), tests), F.col("state"), "kind", "path", percent=percent)
 
 
-def findings(project: Project, policy: Policy = Policy(), documented: bool = True) -> DataFrame:
-    """All findings of a policy, with path; in the order of the gate."""
+def findings(project: Project, policy: Policy = Policy(), documented: bool = True, tests: bool = False) -> DataFrame:
+    """All findings of a policy over the selected files, with path; in the order of the gate.  ``tests``: documentation is asked of tests too."""
     spark = project.facts.sparkSession
     if policy.documentation_below is not None and not documented:
         raise ValueError("a documentation threshold needs documentation facts")
@@ -84,11 +143,11 @@ def findings(project: Project, policy: Policy = Policy(), documented: bool = Tru
     found = review.findings(measured, "symbol_id", "value", policy.review_at, policy.block_at, allowed, policy.named_bands).withColumn("path", F.split_part("item", F.lit("::"), F.lit(1)))
     open_row = [F.lit(None).cast("long").alias("observed"), F.lit(None).cast("long").alias("threshold"), F.lit(None).cast("string").alias("unit"), F.lit("unknown").alias("risk"), F.lit("human-review").alias("action"), F.lit(False).alias("acknowledged")]
     partial = project.facts.where("status <> 'successful'").select(F.lit("analysis-incomplete").alias("rule_id"), F.lit(None).cast("string").alias("item"), *open_row, "path")
-    known = project.files.agg(F.count("language").alias("known"), F.count_if(F.col("language").isNotNull() & (F.col("language") != "python")).alias("other"))
+    known = project.chosen.agg(F.count("language").alias("known"), F.count_if(F.col("language").isNotNull() & (F.col("language") != "python")).alias("other"))
     whole = known.where("known = 0 or other > 0").select(F.lit("analysis-incomplete").alias("rule_id"), F.lit(None).cast("string").alias("item"), *open_row, F.lit(None).cast("string").alias("path"))
     out = found.unionByName(partial).unionByName(whole)
     if policy.documentation_below is not None:
-        total = documentation(project, percent=policy.documentation_below).where("grouping = 'total'")
+        total = documentation(project, tests, policy.documentation_below).where("grouping = 'total'")
         # A partial file leaves the threshold undecided.
         bad = project.facts.agg(F.count_if(F.col("status") != "successful").alias("bad"))
         total = spark.range(1).join(total, F.lit(True), "left").crossJoin(bad)
@@ -150,9 +209,13 @@ def import_graph(resolved: DataFrame, modules: DataFrame) -> dict[str, DataFrame
     dst = F.when(F.col("kind") == "exact", F.col("target")).when(F.col("kind") == "ambiguous", ambiguous).otherwise(unresolved)
     edges = cut(graph.relations(resolved.select(F.col("source").alias("src"), dst.alias("dst"), "kind", "path", "start_byte", "line"), "src", "dst", "kind", "path", "start_byte", "line"))
     nodes = cut(modules.select(F.col("identity").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct())
-    exact = edges.where("kind = 'exact'").select("src", "dst", F.size("evidence").alias("weight"))
+    exact = edges.where("kind = 'exact'").select("src", "dst", F.size("evidence").cast("long").alias("weight"))
     local = exact.join(modules.select(F.col("identity").alias("dst")), "dst", "left_semi")
     components = cut(graph.strong_components(modules.select(F.col("identity").alias("node")), local))
+    nodes = nodes.withColumn("kind", F.coalesce(F.nullif(F.regexp_extract("node", "^python:(ambiguous|unresolved|stdlib|distribution):", 1), F.lit("")), F.lit("local")))
+    unknown = exact.join(nodes.where("kind in ('local', 'stdlib', 'distribution')").select(F.col("node").alias("dst")), "dst", "left_anti").unionByName(local.join(modules.select(F.col("identity").alias("src")), "src", "left_anti").select("dst", "src", "weight"), allowMissingColumns=True)
+    if (lost := unknown.first()) is not None:
+        raise GraphError(f"an exact relation's end is unknown: {lost['src']} -> {lost['dst']}")
     return {
         "nodes": graph.stable_ids(nodes, F.col("node")), "relations": edges, "metrics": graph.fan_metrics(nodes, exact), "components": components,
         "explanations": cycles.explain_cycles(components, local), "coverage": resolve.outcome_counts(resolved), "local": local,
@@ -197,9 +260,93 @@ def resolved_calls(project: Project, modules: DataFrame, imports: DataFrame) ->
     return found.withColumn("kind", F.when(external, "external").otherwise(F.col("kind")))
 
 
-def call_graph(resolved: DataFrame, project: Project) -> dict[str, DataFrame]:
-    """relations, metrics, components and coverage over the exact calls between the project's symbols."""
-    edges = resolved.where("kind = 'exact'").select(F.concat_ws("::", "path", "enclosing").alias("src"), F.col("targets")[0].alias("dst"))
-    nodes = project.table("symbols").select(F.concat_ws("::", "path", "id").alias("node"))
-    edges = cut(edges.groupBy("src", "dst").agg(F.count("*").alias("weight")))
-    return {"relations": edges, "metrics": graph.fan_metrics(nodes, edges), "components": graph.strong_components(nodes, edges), "coverage": resolved.groupBy("kind").agg(F.count("*").alias("n"))}
+def symbol_selectors(symbols: DataFrame) -> DataFrame:
+    """Append selector, ``module::name``, ordinal (1, 2, ... by place among symbols of one selector) and full, ``module::name#ordinal``, to symbols with their owner_module."""
+    same = Window.partitionBy("selector")
+    named = symbols.withColumn("selector", F.concat_ws("::", "owner_module", F.when(F.col("kind") != "module", F.col("qualified_name"))))
+    return named.withColumn("ordinal", F.row_number().over(same.orderBy("path", "start_byte", "id"))).withColumn("full", F.concat("selector", F.lit("#"), "ordinal"))
+
+
+def call_graph(resolved: DataFrame, project: Project, modules: DataFrame) -> dict[str, DataFrame]:
+    """nodes, relations, metrics, components and coverage of all calls.
+
+    Nodes are the project's symbols and, for each calling symbol, what it calls outside, ambiguously or
+    unknown.  A relation holds its calls in order.  Metrics and components look at exact calls only.
+    """
+    symbols = symbol_selectors(project.table("symbols").join(modules.select("path", F.col("module").alias("owner_module")), "path"))
+    local = symbols.select(F.concat_ws("::", "path", "id").alias("node"), F.lit("local").alias("kind"), F.when(F.count("*").over(Window.partitionBy("selector")) > 1, F.col("full")).otherwise(F.col("selector")).alias("label"), "selector", "full")
+    src = F.concat_ws("::", "path", "enclosing")
+    dst = F.when(F.col("kind") == "exact", F.col("targets")[0]).otherwise(F.concat_ws(":", F.lit("call"), "kind", src, "callee"))
+    calls = resolved.select(src.alias("src"), dst.alias("dst"), "kind", "callee", "path", "start_byte", "line")
+    relations = cut(graph.relations(calls, "src", "dst", "kind", "path", "start_byte", "line").withColumn("weight", F.size("evidence").cast("long")))
+    named = calls.where("kind <> 'exact'").select(F.col("dst").alias("node"), "kind", F.col("callee").alias("label"), F.lit(None).cast("string").alias("selector"), F.lit(None).cast("string").alias("full")).distinct()
+    nodes = cut(local.unionByName(named))
+    exact = validated(relations, nodes)
+    ids = nodes.where("kind = 'local'").select("node")
+    return {
+        "nodes": graph.stable_ids(nodes, F.col("kind") != "local", F.col("node"), letter="c"), "relations": relations, "local": exact, "metrics": graph.fan_metrics(ids, exact),
+        "components": cut(graph.strong_components(ids, exact)), "coverage": resolved.groupBy("kind").agg(F.count("*").alias("n")),
+    }
+
+
+def validated(relations: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The exact relations as edges; one whose source or target is no local node is an error."""
+    local = nodes.where("kind = 'local'").select("node")
+    exact = relations.where("kind = 'exact'").select("src", "dst", "weight")
+    for end in ("src", "dst"):
+        if (lost := exact.join(local, exact[end] == local["node"], "left_anti").select(end).first()) is not None:
+            raise GraphError(f"an exact relation's {'source' if end == 'src' else 'target'} is unknown: {lost[0]}")
+    return exact
+
+
+def unmatched_owners(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Calls whose enclosing symbol the file doesn't hold, as diagnostics (path, line, code)."""
+    known = symbols.select("path", F.col("id").alias("enclosing"))
+    return calls.join(known, ["path", "enclosing"], "left_anti").select("path", "line", F.lit("call-owner-unknown").alias("code"))
+
+
+def selected(nodes: DataFrame, wanted: str) -> DataFrame:
+    """The call node that ``module::name`` or ``module::name#ordinal`` names.
+
+    A name without its ordinal that several symbols have, and one that none has, are errors.
+    """
+    hit = nodes.where((F.col("full") == wanted) | (F.col("selector") == wanted))
+    n = hit.limit(2).count()
+    if n > 1 and "#" not in wanted:
+        raise ValueError(f"symbol {wanted!r} has duplicate definitions; select one with #N")
+    if n == 0:
+        near = graph.suggestions(nodes.sparkSession.createDataFrame([(wanted,)], "request string"), nodes.where("selector is not null").select(F.col("selector").alias("name")))
+        raise ValueError(f"symbol {wanted!r} was not found; nearest: " + ", ".join(r["name"] for r in near.orderBy("position").collect()))
+    return hit.select("node")
+
+
+def walk_relations(walks: DataFrame, relations: DataFrame, path: str = "path") -> DataFrame:
+    """(step, relation's columns) of every edge along the node lists of ``path``, in order of step from 1."""
+    p = F.col(path)
+    steps = walks.where(F.size(p) > 1).select(F.posexplode(F.arrays_zip(F.slice(p, F.lit(1), F.size(p) - 1).alias("src"), F.slice(p, F.lit(2), F.size(p)).alias("dst"))).alias("at", "e"))
+    return steps.select((F.col("at") + 1).alias("step"), F.col("e.src").alias("src"), F.col("e.dst").alias("dst")).join(relations.where("kind = 'exact'"), ["src", "dst"])
+
+
+def path_between(g: dict[str, DataFrame], source: DataFrame, target: DataFrame) -> tuple[list, DataFrame]:
+    """The least of the shortest paths over exact local relations (empty if there is none), and its relations."""
+    found = graph.shortest_paths(g["local"], source, target).orderBy(F.size("path"), "path").limit(1)
+    found = cut(found)
+    row = found.first()
+    return list(row["path"]) if row else [], walk_relations(found, g["relations"])
+
+
+def closure_view(g: dict[str, DataFrame], root: DataFrame, direction: str | None = None) -> dict[str, DataFrame]:
+    """Nodes of a closure, with their ids in the whole graph, the exact relations between them and the cyclic components that lie within."""
+    if direction == "both":
+        raise ValueError("a closure follows dependencies or dependents, not both")
+    inside = cut(graph.closure_of(g["local"], root, direction or "dependencies"))
+    whole = g["components"].where("cyclic").join(inside.withColumn("in", F.lit(True)), "node", "left").groupBy("component").agg(F.bool_and(F.coalesce("in", F.lit(False))).alias("all")).where("all")
+    return {
+        "nodes": g["nodes"].join(inside, "node", "left_semi"), "relations": graph.view(g["relations"].where("kind = 'exact'"), inside),
+        "components": g["components"].where("cyclic").join(whole, "component", "left_semi"),
+    }
+
+
+def fan_ranking(metrics: DataFrame, by: str, n: int = 10) -> DataFrame:
+    """The ``n`` nodes of most ``by`` (fan_in or fan_out), ties by name."""
+    return review.top(metrics.where(F.col(by) > 0), n, F.col(by).desc(), F.col("node"))

@@ -35,16 +35,24 @@ def encode_path(raw: bytes) -> str:
 def walk(root: str, include: list[str] | None = None, exact: bool = False) -> list[tuple[str, str, str]]:
     """(path, entry, state) of a repository, sorted by components.
 
-    entry is file, directory or builtin_directory; state is standard, included (ignored but let back in) or
-    ignored.  Hidden files count, symbolic links are not followed.  Ignored directories are named but not
+    entry is file, directory or builtin_directory; state is standard, included (ignored but let back in),
+    ignored, or unreadable for folders that can't be entered.  Hidden files count, symbolic links are not followed.  Ignored directories are named but not
     entered, unless ``exact`` or include patterns ask for their contents.
     """
     wanted = include_matcher(include or [])
     out: list[tuple[str, str, str]] = []
 
+    todo: list[tuple[str, str, list[IgnoreFile], bool]] = [(root, "", [], False)]
+
     def visit(directory: str, rel: str, rules: list[IgnoreFile], hidden: bool) -> None:
-        with os.scandir(directory) as it:
-            entries = sorted(it, key=lambda e: os.fsencode(e.name))
+        try:
+            with os.scandir(directory) as it:
+                entries = sorted(it, key=lambda e: os.fsencode(e.name))
+        except PermissionError:
+            if not rel:
+                raise
+            out.append((rel, "directory", "unreadable"))
+            return
         own = next((e for e in entries if e.name == ".gitignore" and e.is_file(follow_symlinks=False)), None)
         if own is not None and not hidden:
             rules = [*rules, IgnoreFile(Path(own.path).read_text("utf-8", "replace"), rel)]
@@ -60,7 +68,7 @@ def walk(root: str, include: list[str] | None = None, exact: bool = False) -> li
                 if under and not hidden or under and exact:
                     out.append((path, "directory", "ignored"))
                 if not under or exact or wanted is not None:
-                    visit(e.path, path, rules, under)
+                    todo.append((e.path, path, rules, under))
             elif e.is_file(follow_symlinks=False):
                 if hidden or ignored(path, False, rules):
                     if wanted is not None and wanted.match(path):
@@ -70,7 +78,8 @@ def walk(root: str, include: list[str] | None = None, exact: bool = False) -> li
                 else:
                     out.append((path, "file", "standard"))
 
-    visit(root, "", [], False)
+    while todo:
+        visit(*todo.pop())
     return sorted(out, key=lambda r: r[0].split("/"))
 
 
@@ -82,6 +91,54 @@ def inventory(spark: SparkSession, root: str, include: list[str] | None = None,
     return spark.createDataFrame(rows, "root string, raw binary, path string, entry string, state string")
 
 
+def single(spark: SparkSession, path: str) -> DataFrame:
+    """One file as the inventory of its folder, which must not be a built-in one."""
+    file = Path(path)
+    if file.resolve().parent.name in BUILT_IN:
+        raise ValueError(f"{path} lies in a folder that is never analyzed")
+    raw = os.fsencode(file.name)
+    return spark.createDataFrame([(str(file.parent), raw, encode_path(raw), "file", "standard")], "root string, raw binary, path string, entry string, state string")
+
+
+def states(listing: DataFrame, rules: list[tuple[str, str]], include: list[str] | None = None, exact: bool = False, path: str = "path") -> DataFrame:
+    """(path, entry, state) of a listing of files, as ``walk`` has them of a folder, each entry once.
+
+    For listings that come as a table, such as an object store's.  ``rules`` are the (folder, text) of its
+    ignore files, a table of the configuration's size; the files may be any number.
+    """
+    files = sorted(((d, IgnoreFile(t, d)) for d, t in rules), key=lambda x: x[0].count("/") + (x[0] != ""))
+    wanted = include_matcher(include or [])
+
+    def of(name: str) -> Iterator[tuple[str, str, str]]:
+        parts, hidden = name.split("/"), False
+        for k in range(1, len(parts)):
+            at = "/".join(parts[:k])
+            if parts[k - 1] in BUILT_IN:
+                yield at, "builtin_directory", "ignored"
+                return
+            above = [f for d, f in files if d == "" or at.startswith(d + "/")]
+            under = hidden or ignored(at, True, above)
+            if under and not hidden or under and exact:
+                yield at, "directory", "ignored"
+            if under and not exact and wanted is None:
+                return
+            hidden = under
+        above = [f for d, f in files if d == "" or name.startswith(d + "/")]
+        if not hidden and not ignored(name, False, above):
+            yield name, "file", "standard"
+        elif wanted is not None and wanted.match(name):
+            yield name, "file", "included"
+        elif exact or not hidden:
+            yield name, "file", "ignored"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = {r for name in batch.column(0).to_pylist() if name for r in of(name)}
+            yield pa.record_batch([pa.array(list(x), pa.string()) for x in zip(*rows)] if rows else [pa.array([], pa.string())] * 3, names=["path", "entry", "state"])
+
+    return listing.select(path).mapInArrow(run, "path string, entry string, state string").distinct()
+
+
 def files_of(entries: DataFrame) -> DataFrame:
     return entries.where("entry = 'file' and state <> 'ignored'").withColumn("included_ignored", F.col("state") == "included")
 

@@ -3,11 +3,13 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from loam import cli
+from loam.functions import scalars as S
 from loam.operators import cycles, graph
 from loam.plans import project, render
-from loam.sources import policy, pyfacts, repo, rules
+from loam.sources import analyzers, environment, policy, pyfacts, repo, rules
 from loam.sources.lines import c_lines, python_lines
 
 
@@ -121,13 +123,148 @@ def test_dependencies(spark, shop):
     nodes, relations = render.focused(c["nodes"], c["relations"], c["components"], "shop.models", 0)
     assert nodes.count() == 2 and relations.count() == 2
     assert "subgraph" in render.mermaid(nodes, relations, c["components"]) and "cluster_0" in render.dot(nodes, relations, c["components"])
-    assert "</script><" not in render.page("x", relations)
+    assert "</script><" not in render.page("x", nodes, relations, c["components"])
     with pytest.raises(ValueError, match="shop.models"):
         render.focused(c["nodes"], c["relations"], c["components"], "shop.modls")
     text, _ = cli.run(cli.parser().parse_args(["dependencies", shop, "--path-from", "shop.api", "--path-to", "shop.models"]), spark)
     assert [n.split("@")[0] for n in json.loads(text)["path"]] == ["python:shop.api", "python:shop.service", "python:shop.models"]
 
 
+def asked(spark, *args):
+    return cli.run(cli.parser().parse_args([str(a) for a in args]), spark)
+
+
+def test_calls_command(spark, shop):
+    report = json.loads(asked(spark, "calls", shop)[0])
+    kinds = {n["label"]: n["kind"] for n in report["nodes"]}
+    assert kinds["shop.service::Client.retry"] == "local" and kinds["json.dumps"] == "external" and kinds["duplicate"] == "ambiguous"
+    assert {"shop.service::duplicate#1", "shop.service::duplicate#2"} <= set(kinds)
+    assert {c["kind"]: c["n"] for c in report["coverage"]} == {"exact": 5, "ambiguous": 1, "external": 1}
+    near = json.loads(asked(spark, "calls", shop, "--focus", "shop.service::Client.send", "--exact-only")[0])
+    assert {n["label"] for n in near["nodes"]} == {"shop.service::Client.send", "shop.service::Client.retry"} and len(near["relations"]) == 2
+    path = json.loads(asked(spark, "calls", shop, "--path-from", "shop.api::go", "--path-to", "shop.service::helper")[0])
+    assert path["found"] and [(r["step"], r["callee"] if "callee" in r else r["kind"]) for r in path["relations"]] == [(1, "exact")]
+    closed = json.loads(asked(spark, "calls", shop, "--closure", "shop.service::Client.send")[0])
+    assert {n["label"] for n in closed["nodes"]} == {"shop.service::Client.send", "shop.service::Client.retry"} and len(closed["relations"]) == 2 and len(closed["components"]) == 2
+    with pytest.raises(ValueError, match="select one with #N"):
+        asked(spark, "calls", shop, "--focus", "shop.service::duplicate")
+    with pytest.raises(ValueError, match="shop.service::helper"):
+        asked(spark, "calls", shop, "--focus", "shop.service::helpr")
+    page = asked(spark, "calls", shop, "--format", "html", "--include-source")[0]
+    assert "return self.retry()" in page and "</script><" not in page
+    text = asked(spark, "calls", shop, "--format", "text")[0]
+    assert "Most depended on:" in text and "ambiguous" in text and "classDef ambiguous" in asked(spark, "calls", shop, "--format", "mermaid")[0]
+
+
+def test_dependencies_closure_has_a_direction_of_its_own(spark, shop):
+    seen = json.loads(asked(spark, "dependencies", shop, "--closure", "shop.models")[0])
+    assert {n["node"].split("@")[0] for n in seen["nodes"]} == {"python:shop.models", "python:shop.service"} and len(seen["relations"]) == 2
+    up = json.loads(asked(spark, "dependencies", shop, "--closure", "shop.models", "--direction", "dependents")[0])
+    assert len(up["nodes"]) == 3
+    assert "Import contexts:" in asked(spark, "dependencies", shop, "--format", "text")[0]
+
+
+def test_analyze_selection_details_and_single_files(spark, shop, tmp_path):
+    one = json.loads(asked(spark, "analyze", f"{shop}/src/shop/models.py")[0])
+    assert [f["path"] for f in one["files"]] == ["models.py"] and one["coverage"]["selected_language_files"] == 1
+    # main.rs is a known file without an analyzer, but isn't selected here.
+    some = json.loads(asked(spark, "analyze", shop, "--match", "src/.*[.]py", "--details", "src/shop/api.py", "--diagnostics", "src/shop/api.py")[0])
+    assert some["coverage"]["unsupported_selected_files"] == 0 and not [f for f in some["findings"] if f["rule_id"] == "analysis-incomplete"]
+    assert [d["path"] for d in some["details"]] == ["src/shop/api.py"] and some["diagnostics"][0]["diagnostics"] == [] and some["analyzers"] == [{"language": "python", "analyzed": 4, "successful": 4, "partial": 0, "failed": 0}]
+    gate = json.loads(asked(spark, "analyze", shop, "--profile", "gate", "--top", "1")[0])
+    assert "files" not in gate and len(gate["findings"]) == 1 < gate["finding_count"]
+    assert "Facts:" in asked(spark, "analyze", shop, "--format", "text")[0]
+    for wrong, said in ((["analyze", f"{shop}/README.md"], "no known language"), (["analyze", f"{shop}/main.rs"], "no analyzer"), (["analyze", f"{shop}/target/x.rs"], "never analyzed"), (["analyze", f"{shop}/src/shop/api.py", "--match", "x"], "single file"),
+                        (["analyze", shop, "--details", "nowhere.py"], "nowhere.py"), (["analyze", shop, "--no-documentation", "--documentation-below", "50"], "documentation"), (["analyze", shop, "--block-at", "20", "--no-block"], "exclude"),
+                        (["analyze", shop, "--output", "x"], "html"), (["inventory", shop, "--format", "dot"], "no dot"), (["dependencies", shop, "--path-from", "a"], "need each other"), (["dependencies", shop, "--closure", "a", "--direction", "both"], "not both")):
+        with pytest.raises(ValueError, match=said):
+            asked(spark, *wrong)
+
+
+def test_tests_count_in_the_documentation_gate_if_asked(spark, tmp_path):
+    (tmp_path / "app.py").write_text('"""Doc."""\n')
+    (tmp_path / "test_app.py").write_text("def test_a(): pass\n")
+    run = lambda *more: asked(spark, "comments", tmp_path, "--gate", "--documentation-below", "60", *more)
+    assert run()[1] == 0 and run("--include-tests")[1] == 2
+    assert json.loads(run("--include-tests", "--top", "1")[0])["missing"]["total"] == 2
+
+
+def test_inventory_lists_and_warns(spark, shop, tmp_path):
+    rules_file = tmp_path / "r.json"
+    rules_file.write_text('{"config_version": "0.1.0", "inventory": {"categories": {"data": {"include_filenames": ["README.md"]}}}}')
+    run = lambda *more: json.loads(asked(spark, "inventory", shop, "--config", rules_file, *more)[0])
+    assert [f["path"] for f in run("--list-files", "data")["files"]] == ["README.md", "events.jsonl"] and "exclude it there" in run()["diagnostics"][0] and run("--no-warnings")["diagnostics"] == []
+    assert "Listed:" in asked(spark, "inventory", shop, "--format", "text", "--list-files", "all")[0]
+
+
+def test_unreadable_folders_are_told(spark, tmp_path, monkeypatch):
+    import os
+
+    (tmp_path / "shut").mkdir()
+    (tmp_path / "a.py").write_text("")
+    real = os.scandir
+
+    def scandir(path):
+        if str(path).endswith("shut"):
+            raise PermissionError(path)
+        return real(path)
+
+    monkeypatch.setattr(os, "scandir", scandir)
+    assert repo.walk(str(tmp_path)) == [("a.py", "file", "standard"), ("shut", "directory", "unreadable")]
+    assert json.loads(asked(spark, "inventory", tmp_path)[0])["diagnostics"] == ["directory-unreadable: shut"]
+
+
+def test_listings_have_the_states_of_a_walk(spark, shop):
+    names = [p for p, e, _ in repo.walk(shop, exact=True) if e == "file"] + ["target/x.rs"]
+    listing = spark.createDataFrame([(n,) for n in names], "path string")
+    rows = [("", open(f"{shop}/.gitignore").read())]
+    for more in ({}, {"exact": True}, {"include": ["generated/**", "target/**"]}, {"include": ["*.py"], "exact": True}):
+        assert {tuple(r) for r in repo.states(listing, rows, **more).collect()} == set(repo.walk(shop, **more))
+
+
+def test_analyzers_are_one_for_each_language(spark):
+    registry = analyzers.Registry(analyzers.PYTHON)
+    with pytest.raises(analyzers.AnalyzerError, match="already"):
+        registry.register(analyzers.PYTHON)
+    registry.register(analyzers.Analyzer("none", "rust", "1", lambda files: files.select("path")))
+    rows = registry.descriptors(spark).collect()
+    assert [r["language"] for r in rows] == ["python", "rust"] and "documentation" not in analyzers.PYTHON.without_documentation().capabilities
+    assert registry.of("rust", "x.rs").id == "none"
+
+
+def test_interpreters_are_asked_within_bounds(monkeypatch):
+    import sys
+
+    found = environment.probe(sys.executable)
+    assert "json" in found["stdlib"]
+    monkeypatch.setattr(environment, "MOST_BYTES", 1000)
+    with pytest.raises(environment.ProbeError, match="too much"):
+        environment.said([sys.executable, "-c", "print('x' * 10_000_000)"])
+    monkeypatch.setattr(environment, "SECONDS", 0.3)
+    with pytest.raises(Exception, match="timed out"):
+        environment.said([sys.executable, "-c", "import time; time.sleep(9)"])
+    with pytest.raises(environment.ProbeError, match="pyvenv"):
+        environment.probe(venv="/nowhere")
+
+
+def test_graphs_whose_ends_are_unknown_are_refused(spark):
+    nodes = spark.createDataFrame([("a", "local"), ("b", "local"), ("x", "external")], "node string, kind string")
+    edge = lambda a, b: spark.createDataFrame([(a, b, "exact", 1)], "src string, dst string, kind string, weight long")
+    assert project.validated(edge("a", "b"), nodes).count() == 1
+    for bad in (edge("a", "x"), edge("z", "a")):
+        with pytest.raises(project.GraphError, match="unknown"):
+            project.validated(bad, nodes)
+    symbols = spark.createDataFrame([("p", "s")], "path string, id string")
+    lost = project.unmatched_owners(spark.createDataFrame([("p", "s", 1), ("p", "t", 2)], "path string, enclosing string, line long"), symbols).collect()
+    assert [tuple(r) for r in lost] == [("p", 2, "call-owner-unknown")]
+
+
+def test_names_of_nodes_and_paths(spark):
+    df = spark.createDataFrame([("python:a.b@a/b.py", "a\\b.py", "x/y.%FF"), ("python:stdlib:os", "c", "x/y.PY")], "node string, raw string, path string")
+    got = [tuple(r) for r in df.select(S.short_name(F.col("node")), S.subtitle(F.col("node")), S.forward(F.col("raw")), S.extension_of(F.col("path"))).collect()]
+    assert got == [("b", "a/b.py", "a/b.py", "[non-utf8]"), ("os", "stdlib", "c", "py")]
+
+
 def test_cycles_in_plain_graphs():
     assert cycles.shortest_cycle({"a": ["a", "b"], "b": ["a"]}) == ["a", "a"]
     assert cycles.shortest_cycle({"a": ["b", "c"], "b": ["a", "c"], "c": ["a"]}) == ["a", "b", "a"]
