@@ -28,6 +28,8 @@ WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Distinct words whose encoding a Python worker remembers at a time; bounds memory, changes no result.
 REMEMBERED = 500_000
+#: Bytes of text whose new words are encoded together.
+SLICE_BYTES = 1 << 20
 #: Longer words are proposed and merged one by one.
 LONG_WORD = 256
 ENCODED = ["n_tokens", "token_ids", "round_trip"]
@@ -336,7 +338,7 @@ def encode(text: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:
         encoder = _encoder(vocabulary, shared)
         for texts in batches:
             parts = []
-            for piece in slices(texts):
+            for piece in slices(texts, SLICE_BYTES):
                 given = piece.to_pylist()
                 ids = encoder.encode(given)
                 sizes = np.array([0 if x is None else len(x) for x in ids], np.int64)

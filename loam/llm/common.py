@@ -15,7 +15,7 @@ from loam.lineage import cut
 
 U64 = np.uint64
 #: Bytes of text handled at once inside a Python worker; bounds its memory, not the length of a text.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -144,10 +144,11 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
+        # Kept for texts of common sizes; a very long text has its own.
         size = max(n, SLICE_BYTES * 2)
-        factors = np.full(size, base, dtype=U64)
-        factors[0] = 1
-        have = np.multiply.accumulate(factors)
+        have = np.full(size, base, dtype=U64)
+        have[0] = 1
+        np.multiply.accumulate(have, out=have)
         if size <= SLICE_BYTES * 2:
             _powers[base] = have
     return have

@@ -10,6 +10,7 @@ an L1 penalty on the features that tell toxic documents from others; whole texts
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,8 @@ TRAIN_ROWS, TRAIN_CHARS = 2500, 20_000
 #: Documents of at least this expected severity are rejected.
 REJECT_AT = 0.4
 MIN_DOCS, MIN_Z, L1, STEPS = 4, 5.0, 1e-4, 500
+#: Counters of how many texts hold a feature, which tell the rare ones; a shared one only keeps a rare feature longer.
+COUNTERS = 1 << 22
 FIELDS = ["severity", "grade", "toxic"]
 #: Bytes of words: letters, digits and all of more than one byte.
 WORD_BYTE = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
@@ -148,29 +151,37 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ordinal
 
     Null ids, labels and texts are left out; of a document with several labels the worst counts.  The sample
     is weighted back to the labels' true shares.  Only ids and labels are sorted; the texts of the chosen ids
-    (at most 2 * ``rows``, hence the broadcast) come from one filtered scan.
+    (at most 2 * ``rows``, hence the broadcast) come from one filtered scan, and one task fits the model.
     """
     marked = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = [marked.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for t in (0, 1)]
     sample = docs.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
-    got = sorted({(r["doc_id"], r["text"], r["toxic"]) for r in sample.collect()})
-    return fit_labelled([t for _, t, _ in got], np.array([g for _, _, g in got], int), totals)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted({tuple(r) for b in batches for r in zip(*(b[c].to_pylist() for c in ("doc_id", "text", "toxic")))})
+        made = fit_labelled([t for _, t, _ in got], np.array([g for _, _, g in got], int), totals)
+        yield pa.record_batch([pa.array([pickle.dumps(made)], pa.binary())], names=["model"])
+
+    found = sample.select("doc_id", "text", "toxic").repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit_labelled([], np.zeros(0, int), totals)
 
 
 def fit_labelled(texts: list[str], toxic: np.ndarray, totals: dict[int, int]) -> OrdinalModel:
     """Fit texts with 0/1 labels; of those with one least shingle hash, as copies have, only the first counts.  ``totals``: documents of each label."""
     first, found, words, begin = [], [], [], 0
-    for piece in slices(pa.array(texts, pa.string())):
+    often = np.zeros(COUNTERS, np.int32)
+    for piece in slices(pa.array(texts, pa.string()), 1 << 18):
         h, at = ngrams(piece, 3)
         first += [int(h[a:b].min()) if b > a else -1 for a, b in zip(at[:-1], at[1:])]
         text, feature, whole = features(piece)
-        words.append((text[:whole] + begin, feature[:whole]))
+        words.append(((text[:whole] + begin).astype(np.int32), feature[:whole].copy()))
         order = np.lexsort((feature, text))
         text, feature = text[order], feature[order]
         once = np.ones(len(text), bool)
         once[1:] = (text[1:] != text[:-1]) | (feature[1:] != feature[:-1])
-        found.append((text[once] + begin, feature[once]))
+        found.append(((text[once] + begin).astype(np.int32), feature[once]))
+        np.add.at(often, feature[once] % COUNTERS, 1)
         begin += len(piece)
     if not found:
         return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, int), np.zeros(0))
@@ -179,8 +190,10 @@ def fit_labelled(texts: list[str], toxic: np.ndarray, totals: dict[int, int]) ->
     number = np.cumsum(kept) - 1
 
     def of_kept(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        text, feature = (np.concatenate(z) for z in zip(*pairs))
-        return number[text[kept[text]]], feature[kept[text]]
+        """The pairs of kept texts, less those of features too rare to count, which most are."""
+        some = [(t[x], f[x]) for t, f in pairs for x in [kept[t] & (often[f % COUNTERS] >= MIN_DOCS)]]
+        pairs.clear()
+        return number[np.concatenate([t for t, _ in some])], np.concatenate([f for _, f in some])
 
     toxic = toxic[kept]
     grades = graded(occurrences(*of_kept(words), toxic), toxic)
