@@ -40,21 +40,29 @@ def _headers(lines: list[bytes]) -> list[tuple[str, str]]:
     return out
 
 
+MAGIC = b"\x1f\x8b\x08"
+
+
 class _Members(io.RawIOBase):
-    """The content of gzip members end to end; of a cut off or damaged one, what comes before the damage."""
+    """The content of gzip members end to end, up to the first damage; ``resume`` goes on from the next member after it."""
 
     def __init__(self, source) -> None:
-        self.source, self.inner, self.rest, self.made = source, zlib.decompressobj(31), b"", b""
+        self.source, self.rest, self.made, self.broken = source, b"", b"", False
+        self._begin()
+
+    def _begin(self) -> None:
+        self.inner, self.fed = zlib.decompressobj(31), False
 
     def readable(self) -> bool:
         return True
 
     def readinto(self, target) -> int:
         while not self.made:
-            if self.inner is None:
+            if self.inner is None or self.broken:
                 return 0
             if self.inner.eof:
-                self.rest, self.inner = self.inner.unused_data, zlib.decompressobj(31)
+                self.rest = self.inner.unused_data
+                self._begin()
             data = self.rest or self.source.read(1 << 16)
             self.rest = b""
             if not data:
@@ -62,18 +70,59 @@ class _Members(io.RawIOBase):
                 continue
             try:
                 self.made = self.inner.decompress(data)
+                self.fed = True
             except zlib.error:
-                self.inner = None
+                # A member's own first bytes can't begin the next one.
+                self.broken, self.rest = True, data if self.fed else data[1:]
         n = min(len(target), len(self.made))
         target[:n], self.made = self.made[:n], self.made[n:]
         return n
 
+    def resume(self) -> bool:
+        """Whether a member follows the damage that ended the stream; it is read from next."""
+        if not self.broken:
+            return False
+        held = self.rest
+        while (at := held.find(MAGIC)) < 0:
+            more = self.source.read(1 << 16)
+            if not more:
+                return False
+            held = held[-len(MAGIC) + 1 :] + more
+        self.rest, self.broken = held[at:], False
+        self._begin()
+        return True
+
 
 def read_records(stream) -> Iterator[dict]:
-    """Records of a WARC stream, gzip (whole or by record) or plain; what follows a damaged record head is skipped up to the next one."""
+    """Records of a WARC stream, gzip (whole or by record) or plain.
+
+    What follows a damaged record head is skipped up to the next one, and a damaged gzip member, with the
+    record that it cuts off, up to the next member.
+    """
     buffered = stream if isinstance(stream, io.BufferedReader) else io.BufferedReader(stream)
-    if buffered.peek(2)[:2] == b"\x1f\x8b":
-        buffered = io.BufferedReader(_Members(buffered), 1 << 20)
+    if buffered.peek(2)[:2] != MAGIC[:2]:
+        yield from plain_records(buffered)
+        return
+    members = _Members(buffered)
+    yield from plain_records(io.BufferedReader(_Shared(members), 1 << 20))
+    while members.resume():
+        yield from plain_records(io.BufferedReader(_Shared(members), 1 << 20))
+
+
+class _Shared(io.RawIOBase):
+    """Reads on from ``members`` and leaves it open."""
+
+    def __init__(self, members: _Members) -> None:
+        self.members = members
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, target) -> int:
+        return self.members.readinto(target)
+
+
+def plain_records(buffered: io.BufferedReader) -> Iterator[dict]:
     while True:
         line = buffered.readline()
         if not line:
@@ -135,7 +184,13 @@ def parse_warc(segments: DataFrame, content: str = "content") -> DataFrame:
 
 
 def read_warc(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Records of WARC files on a file system that every executor mounts; each file is one streaming task."""
+    """Records of WARC files.
+
+    Files on a file system that every executor mounts are streamed, one a task.  Paths with a scheme, such as
+    an object store's, go through Spark's own reader, which holds a whole file (2 GB at most) in a task.
+    """
+    if any("://" in p for p in paths):
+        return parse_warc(spark.read.format("binaryFile").load(paths).select("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,20 +202,20 @@ def read_warc(spark: SparkSession, paths: list[str]) -> DataFrame:
     return files.repartition(max(1, len(paths))).mapInArrow(run, RECORD_DDL)
 
 
-def _id(kind: str, page: object) -> str:
-    return f"urn:uuid:{uuid.uuid5(_SPACE, f'{kind}:{page}')}"
+def _id(kind: str, capture: object) -> str:
+    return f"urn:uuid:{uuid.uuid5(_SPACE, f'{kind}:{capture}')}"
 
 
-def page_records(page: int | None, url: str | None, html: str | None) -> list[dict]:
-    """Request, response and metadata records of one page, as a crawler would write them."""
+def page_records(page: int | None, url: str | None, html: str | None, capture: object) -> list[dict]:
+    """Request, response and metadata records of one page, as a crawler would write them; ``capture`` tells rows of one page apart."""
     body = (html or "").encode()
     host, path = re.match(r"(?:[a-z]+://)?([^/?#]*)([^#]*)", url or "").groups()
     common = {"uri": url, "date": "2024-01-01T00:00:00Z"}
-    response = _id("response", page)
+    response = _id("response", capture)
     return [
-        common | {"record_id": _id("request", page), "type": "request", "concurrent_to": [response], "content_type": "application/http; msgtype=request", "block": f"GET {path or '/'} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode()},
+        common | {"record_id": _id("request", capture), "type": "request", "concurrent_to": [response], "content_type": "application/http; msgtype=request", "block": f"GET {path or '/'} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode()},
         common | {"record_id": response, "type": "response", "concurrent_to": [], "content_type": "application/http; msgtype=response", "block": b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body},
-        common | {"record_id": _id("metadata", page), "type": "metadata", "concurrent_to": [_id("request", page)], "content_type": "application/warc-fields", "block": f"page-id: {page}\r\nfetchTimeMs: {len(body) % 1000}\r\n".encode()},
+        common | {"record_id": _id("metadata", capture), "type": "metadata", "concurrent_to": [_id("request", capture)], "content_type": "application/warc-fields", "block": f"page-id: {page}\r\nfetchTimeMs: {len(body) % 1000}\r\n".encode()},
     ]
 
 
@@ -171,11 +226,12 @@ def pages_to_warc(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                records = [page_records(*row) for row in zip(*(part[c].to_pylist() for c in ("page_id", "url", "html")))]
+                records = [page_records(*row) for row in zip(*(part[c].to_pylist() for c in ("page_id", "url", "html", "capture")))]
                 segments = [b"".join(zlib_member(write_record(r[k])) for r in records) for k in range(3)]
                 yield pa.record_batch([pa.array(segments, pa.binary())], names=["content"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "content binary")
+    # Every row is a capture of its own, whatever it repeats; the number follows from the row's place in its file.
+    return pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("capture")).mapInArrow(run, "content binary")
 
 
 def zlib_member(data: bytes) -> bytes:
@@ -199,7 +255,7 @@ def assemble(records: DataFrame) -> DataFrame:
     request belongs to a capture if either names the other in concurrent_to; metadata also if it is so tied
     to one of the capture's requests.  Of several requests the one of the least id counts; a record tied to
     several captures belongs to each.  Null or repeated record ids: records without an id can name others but
-    not be named; of records that repeat an id and type one (of the least block) counts.  Requests and
+    not be named; of captures that repeat an id one (of the least uri, date and block) counts.  Requests and
     metadata that lead to no capture, and records of other types, are left out.  Extra columns are ignored.
     No records give no rows.
     """
@@ -226,7 +282,7 @@ def assemble(records: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.when(F.col("kind") == "metadata", part))).alias("metadata"),
     )
     captures = known.where("kind = 'capture'").withColumnRenamed("key", "capture").select("capture", "record_id", "uri", "date", "block")
-    once = captures.groupBy("capture").agg(F.min(F.struct("block", "record_id", "uri", "date")).alias("c"))
+    once = captures.groupBy("capture").agg(F.min(F.struct("record_id", "uri", "date", "block")).alias("c"))
     body = F.col("c.block")
     return once.join(sides, "capture", "left").select(
         "c.record_id", "c.uri", "c.date", http_status(body).alias("status"), http_body(body).alias("payload"), "request", F.coalesce("metadata", F.array().cast("array<struct<record_id:string,block:binary>>")).alias("metadata")
@@ -234,16 +290,20 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages written as WARC segments, parsed again and assembled; the page id comes back through the metadata."""
+    """Pages written as WARC segments, parsed again and assembled; the page id comes back through the metadata.
+
+    Every row of the table is a capture.  A null or empty url asks for / and comes back as null, a null page has an
+    empty payload.
+    """
     records = parse_warc(pages_to_warc(table(spark, sf_dir, "pages")))
     rows = assemble(records)
-    page = F.regexp_extract(F.decode(F.col("metadata")[0]["block"], "UTF-8"), r"page-id: (\d+)", 1).try_cast("long")
+    page = F.regexp_extract(F.decode(F.col("metadata")[0]["block"], "UTF-8"), r"page-id: (-?\d+)", 1).try_cast("long")
     line = F.substring_index(F.decode(F.col("request.block"), "UTF-8"), " HTTP/1.1", 1)
     return rows.select(page.alias("page_id"), F.col("uri").alias("url"), "status", line.alias("request_line"), F.decode("payload", "UTF-8").alias("html"), F.size("metadata").alias("n_metadata"))
 
 
 WARC_SQL = """
-select page_id, url, 200 as status,
-  'GET ' || case when p = '' then '/' else p end as request_line, html, 1 as n_metadata
-from (select page_id, url, html, regexp_extract(url, '^(?:[a-z]+://)?([^/?#]*)([^#]*)', 2) as p from pages)
+select page_id, nullif(url, '') as url, 200 as status,
+  'GET ' || case when p = '' then '/' else p end as request_line, coalesce(html, '') as html, 1 as n_metadata
+from (select page_id, url, html, coalesce(regexp_extract(url, '^(?:[a-z]+://)?([^/?#]*)([^#]*)', 2), '') as p from pages)
 """

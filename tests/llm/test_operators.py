@@ -584,6 +584,38 @@ def test_warc_records_survive_writing_and_reading(tmp_path, spark, packed):
     assert warc.parse_warc(cut_off).count() == 2
 
 
+def test_warc_reads_on_after_a_damaged_member():
+    import io
+
+    records = [record("response", f"urn:{k}", block=bytes([65 + k]) * 3000 + os.urandom(4000)) for k in range(6)]
+    members = [warc.zlib_member(warc.write_record(r)) for r in records]
+    for bad in range(6):
+        data = bytearray(b"".join(members))
+        at = sum(map(len, members[:bad])) + len(members[bad]) // 2
+        data[at : at + 40] = b"\xff" * 40
+        got = [r["record_id"] for r in warc.read_records(io.BufferedReader(io.BytesIO(bytes(data))))]
+        assert got == [f"urn:{k}" for k in range(6) if k != bad], bad
+    assert [r["record_id"] for r in warc.read_records(io.BytesIO(b"\x1f\x8bjunk" + b"".join(members)))] == [f"urn:{k}" for k in range(6)]
+
+
+def test_warc_query_equals_its_sql_on_hard_pages(spark, tmp_path):
+    """Null and repeated page ids, recrawls, full repeats, null URLs and pages, and a very long page."""
+    import duckdb
+
+    rows = [(1, "http://a/b?c", "x"), (1, "http://a/b?c", "x"), (1, "http://a/b?c", "another"), (None, "http://n/", "y"), (None, "http://n/", "z"), (None, None, None), (2, None, "q"), (3, "", ""), (-4, "http://m", LONG), (5, "http://u/#f", "\u00e4\r\n\r\nWARC/1.0\r\n")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    df = warc.op3_warc(spark, str(tmp_path))
+    assert sorted((tuple(r) for r in df.collect()), key=str) == sorted(con.sql(warc.WARC_SQL).select(*df.columns).fetchall(), key=str)
+
+
+def test_warc_files_are_read_by_scheme_too(spark, tmp_path):
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(warc.zlib_member(warc.write_record(record("response", "urn:r"))))
+    assert warc.read_warc(spark, [f"file://{path}"]).count() == warc.read_warc(spark, [str(path)]).count() == 1
+
+
 def test_warc_transactions(spark):
     head = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
     rows = [
