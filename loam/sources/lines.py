@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame
 
 WHITE = b" \t\n\f\r"
 _PY_PLAIN = re.compile(rb"[^'\"#]+")
-_C_PLAIN = re.compile(rb"[^'\"/rR]+")
+_C_PLAIN = re.compile(rb"(?:[^'\"/rR]++|r(?![r#\"])|R(?!\"))+")
+_C_BLOCK = re.compile(rb"/\*|\*/")
+#: By opening quote: an escaped byte, or the closing quote.
+_CLOSING = {q: re.compile(rb"\\.|" + q, re.S) for q in (b"'", b'"', b"'''", b'"""')}
 _C_RAW = re.compile(rb"r(r|#)*\"")
 _CPP_RAW = re.compile(rb"R\"([^ \t\n\f\r()]{0,16})\(")
 
@@ -47,10 +50,9 @@ def _marks(data: bytes, source: list[tuple[int, int]], comment: list[tuple[int,
 
 def _string_end(data: bytes, at: int, quote: bytes) -> int:
     """End of a string opened before ``at``: past the first closing quote that isn't escaped."""
-    while at < len(data):
-        if data.startswith(quote, at):
-            return at + len(quote)
-        at += 2 if data[at] == 0x5C else 1
+    for m in _CLOSING[quote].finditer(data, at):
+        if m[0] == quote:
+            return m.end()
     return len(data)
 
 
@@ -97,7 +99,7 @@ def c_lines(data: bytes) -> tuple[int, int, int, int]:
         elif data.startswith(b"/*", at):
             depth, end = 1, at + 2
             while depth and end < len(data):
-                m = re.compile(rb"/\*|\*/").search(data, end)
+                m = _C_BLOCK.search(data, end)
                 end = m.end() if m else len(data)
                 depth += (1 if m[0] == b"/*" else -1) if m else 0
             comment.append((at, end))

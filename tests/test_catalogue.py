@@ -27,13 +27,83 @@ def test_query(spark, small, name):
     assert got == sorted(want.select(*[f'"{c}"' for c in columns]).fetchall(), key=str)
 
 
+def plain_lines(data: bytes, c: bool) -> tuple[int, int, int, int]:
+    """(total, source, comment, blank), one byte at a time."""
+    kind, i = [0] * len(data), 0
+
+    def mark(end: int, what: int) -> int:
+        end = min(end, len(data))
+        kind[i:end] = [what] * (end - i)
+        return end
+
+    while i < len(data):
+        byte = data[i : i + 1]
+        if c and data[i : i + 2] == b"/*":
+            depth, j = 1, i + 2
+            while depth and j < len(data):
+                two = data[j : j + 2]
+                depth += (two == b"/*") - (two == b"*/")
+                j += 2 if two in (b"/*", b"*/") else 1
+            i = mark(j, 1)
+            continue
+        if (data[i : i + 2] == b"//") if c else byte == b"#":
+            j = i
+            while j < len(data) and data[j] != 10:
+                j += 1
+            i = mark(j, 1)
+            continue
+        close = None
+        if c and byte == b"r":
+            j = i + 1
+            while data[j : j + 1] in (b"r", b"#"):
+                j += 1
+            if data[j : j + 1] == b'"':
+                close = (j + 1, b'"' + data[i + 1 : j])
+        if c and data[i : i + 2] == b'R"':
+            j = i + 2
+            while j < len(data) and data[j] not in b" \t\n\f\r()" and j - i - 2 < 16:
+                j += 1
+            if data[j : j + 1] == b"(":
+                close = (j + 1, b")" + data[i + 2 : j] + b'"')
+        if close:
+            j = close[0]
+            while j < len(data) and data[j : j + len(close[1])] != close[1]:
+                j += 1
+            i = mark(j + len(close[1]), 2)
+            continue
+        if byte in (b"'", b'"'):
+            quote = byte * 3 if not c and data[i : i + 3] == byte * 3 else byte
+            j = i + len(quote)
+            while j < len(data) and data[j : j + len(quote)] != quote:
+                j += 2 if data[j] == 0x5C else 1
+            i = mark(j + len(quote), 2)
+            continue
+        i = mark(i + 1, 0 if data[i] in b" \t\n\f\r" else 2)
+    lines, at = [], 0
+    while at < len(data):
+        end = data.find(b"\n", at) + 1 or len(data)
+        lines.append(max(kind[at:end]))
+        at = end
+    return len(lines), lines.count(2), lines.count(1), lines.count(0)
+
+
 def test_lexed_lines_match_a_plain_reading(spark, small):
     got = {(r["doc_id"], r["language"]): tuple(r)[2:] for r in QUERIES["lexer_line_kinds"](spark, small).collect()}
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
-    assert got == {(k, lang): LEXERS[lang](t.encode()) for k, t in texts.items() if t is not None for lang in ("python", "c")}
+    assert got == {(k, lang): plain_lines(t.encode(), lang == "c") for k, t in texts.items() if t is not None for lang in ("python", "c")}
     assert all(total == source + comment + blank for total, source, comment, blank in got.values())
 
 
+def test_lexers_match_a_plain_reading_of_any_bytes():
+    import random
+
+    rng = random.Random(1)
+    parts = [b"'", b'"', b'"""', b"'''", b"#", b"//", b"/*", b"*/", b"\\", b"\n", b" ", b"r", b'r#"', b'R"x(', b')x"', b'"#', b"a", b"\t", b"/"]
+    for _ in range(4000):
+        data = b"".join(rng.choices(parts, k=rng.randrange(1, 25)))
+        assert LEXERS["python"](data) == plain_lines(data, False) and LEXERS["c"](data) == plain_lines(data, True), data
+
+
 def test_cuts_leave_no_cycle(spark, small):
     from loam.plans import catalogue
 
