@@ -174,13 +174,13 @@ def analyzer_descriptors(t):
     return REGISTRY.descriptors(t("region").sparkSession).select("id", "language", "level", F.array_join("capabilities", ",").alias("capabilities"))
 
 
-def imports_of(t) -> tuple[DataFrame, DataFrame]:
+def imports_of(t) -> tuple[project.Project, DataFrame, DataFrame]:
     p = made(t)
     modules = project.local_modules(p, [""])
     spark = p.facts.sparkSession
     stdlib = spark.createDataFrame([("os",)], "name string")
     providers = spark.createDataFrame([], "import_name string, distribution string, version string")
-    return modules, project.resolved_imports(p, modules, stdlib, providers)
+    return p, modules, project.resolved_imports(p, modules, stdlib, providers)
 
 
 @query(f"with {FILES} select path, module, false as is_package, 'python:' || module || '@' || path as identity from files")
@@ -193,7 +193,7 @@ def local_modules(t):
   union all select path, 3, case when next is null then 'unresolved' else 'exact' end, case when next is not null then 'local' end, dst, case when next is null then 'module-not-found' end from edges
   union all select path, 4, 'unresolved', null, null, 'module-not-found' from edges)""")
 def import_resolution(t):
-    return imports_of(t)[1].select("path", "line", "kind", "origin", "target", "reason")
+    return imports_of(t)[2].select("path", "line", "kind", "origin", "target", "reason")
 
 
 @query(f"""with {EDGES} select src, dst, kind, lines from (
@@ -201,7 +201,7 @@ def import_resolution(t):
   union all select src, case when next is null then 'python:unresolved:' || src || ':pkg' || (d + 1) % 5 || ':module-not-found' else dst end, case when next is null then 'unresolved' else 'exact' end, '3' from edges
   union all select src, 'python:unresolved:' || src || ':pkg' || d % 5 || ':module-not-found', 'unresolved', '4' from edges)""")
 def import_relations(t):
-    modules, imports = imports_of(t)
+    _, modules, imports = imports_of(t)
     g = project.import_graph(imports, modules)
     return g["relations"].select("src", "dst", "kind", F.array_join(F.transform("evidence", lambda e: e["line"].cast("string")), ",").alias("lines"))
 
@@ -210,13 +210,12 @@ def import_relations(t):
 n as (select 'python:unresolved:' || src || ':pkg' || d % 5 || ':module-not-found' as node from edges union select 'python:unresolved:' || src || ':pkg' || (d + 1) % 5 || ':module-not-found' from edges where next is null)
 select node, sum(i)::bigint as fan_in, sum(o)::bigint as fan_out from m group by node union all select node, 0, 0 from n""")
 def import_fan_metrics(t):
-    modules, imports = imports_of(t)
+    _, modules, imports = imports_of(t)
     return project.import_graph(imports, modules)["metrics"]
 
 
 def called(t) -> dict[str, DataFrame]:
-    p = made(t)
-    modules, imports = imports_of(t)
+    p, modules, imports = imports_of(t)
     return project.call_graph(project.resolved_calls(p, modules, imports), p, modules)
 
 
