@@ -285,14 +285,12 @@ def call_priority_lookup(t):
     return found.select("c_custkey", "hit_name", F.coalesce(F.size("targets"), F.lit(0)).cast("long").alias("n_targets"), "kind")
 
 
-SEEDS_SQL = "select o_orderkey as node from orders where o_totalprice = (select max(o_totalprice) from orders) or o_totalprice = (select min(o_totalprice) from orders)"
+SEEDS_SQL = "select o_orderkey as node from orders qualify row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) = 1"
 
 
 def seeds(t) -> DataFrame:
-    """The orders of the greatest and the least price."""
-    o = t("orders")
-    ends = o.agg(F.max("o_totalprice").alias("a"), F.min("o_totalprice").alias("b"))
-    return o.join(F.broadcast(ends), (o["o_totalprice"] == ends["a"]) | (o["o_totalprice"] == ends["b"])).select(F.col("o_orderkey").alias("node"))
+    """Every customer's first order."""
+    return t("orders").groupBy("o_custkey").agg(F.min(F.struct("o_orderdate", "o_orderkey"))["o_orderkey"].alias("node")).select("node")
 
 
 @query(f"""
