@@ -278,6 +278,8 @@ def within(docs: DataFrame, gone: DataFrame) -> DataFrame:
     marks = cut(marks.groupBy("doc_id").agg(F.max("__loam_gone__").alias("__loam_gone__")))
     names = [F.col(f"`{c}`") for c in docs.columns]
     kept = docs.join(marks, "doc_id", "left").where("__loam_gone__ is null").select(*names)
+    if marks.where("not __loam_gone__").isEmpty():
+        return kept
     once = docs.join(marks.where("not __loam_gone__"), "doc_id").select(*names)
     row = F.struct(*names)
     least = once.groupBy(F.col("doc_id").alias("__loam_id__")).agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("__loam_row__"))

@@ -1,6 +1,6 @@
 """N-gram Jaccard join by parity sketches, size bands and the pigeonhole principle.
 
-A document is the set of its distinct word n-grams; documents of equal sets are one class.  Every gram flips
+A document is the set of its distinct word n-grams; documents of equal sets are compared as one, here a class.  Every gram flips
 one bit of a wide parity sketch, so two sketches differ in at most as many bits as the sets have differing
 elements, d.  Pairs of Jaccard similarity t have d <= (1 - t) / (1 + t) * (|A| + |B|).  Classes of like size
 share a band, and a band's sketch is cut into blocks: with more blocks than d, two similar classes agree in
@@ -356,10 +356,10 @@ def compared(docs: DataFrame, threshold: float, gram: int, pairs: bool) -> tuple
     return heads, classes, cut(sets.repartition("key").sortWithinPartitions("key", "node").mapInArrow(verified(threshold, pairs), kind))
 
 
-def class_pairs(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM) -> DataFrame:
-    """All pairs of classes of Jaccard similarity >= ``threshold``, by their least ids: (doc_a, doc_b, jaccard), doc_a <= doc_b.
+def set_pairs(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM) -> DataFrame:
+    """All pairs of gram sets of Jaccard similarity >= ``threshold``, by their least ids: (doc_a, doc_b, jaccard), doc_a <= doc_b.
 
-    The documents of a class follow from ``jaccard_join``'s class_id.  The rules for nulls, repeats and ties
+    The documents of a gram set follow from ``jaccard_join``'s copy_of.  The rules for nulls, repeats and ties
     are its own; where one id has several texts, a pair may hold an id twice.
     """
     _, classes, found = compared(docs, threshold, gram, True)
@@ -369,14 +369,14 @@ def class_pairs(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM)
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, class_id, n_links, group_id.
+    """One row for each row of ``docs``: doc_id, class_id, copy_of, n_links.
 
-    class_id is the least id of the documents of the same gram set, n_links the number of other classes of
-    Jaccard similarity >= ``threshold``, each verified on whole gram sets, and group_id the least id of all
-    documents that links and classes join, directly or not.
+    class_id is the least id of all documents that links and equal gram sets join, directly or not, copy_of
+    the least id of the documents of the same gram set, and n_links the number of other gram sets of Jaccard
+    similarity >= ``threshold``, each verified on whole sets.
 
-    A row with a null id, a null text or a text without words is a class and a group of its own, under its own
-    id, without links.  A text of fewer words than ``gram`` has one gram.  Repeated rows stay; rows that share
+    A row with a null id, a null text or a text without words is a class of its own, under its own id,
+    without links.  A text of fewer words than ``gram`` has one gram.  Repeated rows stay; rows that share
     an id but not a text are in the classes of their texts.  Ids may be of any type that has an order.  Extra
     columns are ignored.  An empty table gives no rows.
     """
@@ -386,7 +386,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM
     least = groups.join(classes, "node").groupBy("root").agg(F.min("rep").alias("group"))
     named = classes.select("node", "rep").join(links, "node", "left").join(groups.join(least, "root").select("node", "group"), "node", "left")
     rows = heads.select("doc_id", "node").join(named, "node", "left")
-    return rows.select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("group", "rep", "doc_id").alias("group_id"))
+    return rows.select("doc_id", F.coalesce("group", "rep", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("copy_of"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM) -> DataFrame:
@@ -396,7 +396,7 @@ def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD, gram: int =
     least text stays.  Extra columns stay.  An empty table gives an empty table.
     """
     joined = jaccard_join(docs.select("doc_id", "text"), threshold, gram)
-    return within(docs, joined.where("doc_id <> group_id").select("doc_id").distinct())
+    return within(docs, joined.where("doc_id <> class_id").select("doc_id").distinct())
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -321,7 +321,7 @@ def linked(pairs):
 
 
 def joined_by_hand(rows, t=0.6):
-    """(class, links, group) of every id by comparing all gram sets with each other, and the pairs of classes; ids are unique."""
+    """(least id of the gram set, links, class) of every id by comparing all gram sets with each other, and the pairs of sets; ids are unique."""
     sets = {k: frozenset(gram_set(x or "")) for k, x in rows}
     least = {}
     for k in sorted(sets):
@@ -342,14 +342,14 @@ def joined_by_hand(rows, t=0.6):
 
 
 def joined(df):
-    return {r["doc_id"]: (r["class_id"], r["n_links"], r["group_id"]) for r in df.collect()}
+    return {r["doc_id"]: (r["copy_of"], r["n_links"], r["class_id"]) for r in df.collect()}
 
 
 def test_jaccard_join_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     want, pairs = joined_by_hand([tuple(r) for r in docs.collect()])
     assert len(pairs) > 50 and joined(jaccard.jaccard_join(docs)) == want
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in jaccard.class_pairs(docs).collect()}
+    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in jaccard.set_pairs(docs).collect()}
     assert got.keys() == pairs.keys() and all(abs(got[p] - j) < 1e-9 for p, j in pairs.items())
 
 
@@ -368,7 +368,7 @@ def test_jaccard_join_finds_pairs_near_the_threshold(spark, size):
         a, b = gram_set(rows[-2][1]), gram_set(rows[-1][1])
         if len(a & b) / len(a | b) >= 0.6:
             pairs.append((2 * k, 2 * k + 1))
-    got = {(r["doc_a"], r["doc_b"]) for r in jaccard.class_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {(r["doc_a"], r["doc_b"]) for r in jaccard.set_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(pairs) > 10 and got <= set(pairs) and (got == set(pairs) if size < 90 else len(got) >= 0.98 * len(pairs))
 
 
@@ -384,7 +384,7 @@ def test_jaccard_join_loses_no_link_of_a_large_group(spark, monkeypatch, tile):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want, pairs = joined_by_hand(rows)
     assert len(pairs) > 900 and joined(jaccard.jaccard_join(docs)) == want
-    assert {(r["doc_a"], r["doc_b"]) for r in jaccard.class_pairs(docs).collect()} == set(pairs)
+    assert {(r["doc_a"], r["doc_b"]) for r in jaccard.set_pairs(docs).collect()} == set(pairs)
     assert {r["doc_id"] for r in jaccard.keep_one_of_each(docs).collect()} == {g for _, _, g in want.values()}
 
 
@@ -398,11 +398,11 @@ def test_overlaps_count_common_grams(kind):
 
 
 def test_jaccard_edges(spark):
-    docs = awkward(spark, class_id="clash", group_id=1)
+    docs = awkward(spark, class_id="clash", copy_of=1)
     out = jaccard.jaccard_join(docs)
     rows = sorted((tuple(r) for r in out.collect()), key=str)
-    assert out.columns == ["doc_id", "class_id", "n_links", "group_id"]
-    assert rows == sorted([(1, 1, 0, 1), (1, 1, 0, 1), (2, 1, 0, 1), *((k, k, 0, k) for k in (3, 4, 5, 6, 7, None))], key=str)
+    assert out.columns == ["doc_id", "class_id", "copy_of", "n_links"]
+    assert rows == sorted([(1, 1, 1, 0), (1, 1, 1, 0), (2, 1, 1, 0), *((k, k, k, 0) for k in (3, 4, 5, 6, 7, None))], key=str)
     kept = jaccard.keep_one_of_each(docs)
     assert kept.columns == docs.columns
     ids = sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is None, x))
