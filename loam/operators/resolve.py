@@ -57,14 +57,16 @@ def last_binding(imports: DataFrame, scope: str, name: str, *order: str) -> Data
 def by_priority(requests: DataFrame, key: list[str], candidates: Column, catalogue: DataFrame, name: str, target: str) -> DataFrame:
     """For each request the first of its ``candidates`` (array of names, in order of priority) that the catalogue holds.
 
-    Appends name, targets (sorted) and kind; requests without a hit have kind unresolved.
+    Appends hit_name, n_targets (different ones), target (the least, of an exact hit the only one) and kind;
+    requests without a hit have kind unresolved.  A name's targets themselves are not carried to its requests.
     """
     spread = requests.select(*key, F.posexplode(candidates).alias("priority", "__name__"))
-    met = spread.join(grouped(catalogue, name, target), "__name__")
-    first = met.groupBy(*key).agg(F.min_by(F.struct(F.col("__name__").alias("name"), "candidates"), "priority").alias("hit"))
+    counted = catalogue.groupBy(F.col(name).alias("__name__")).agg(F.countDistinct(target).alias("n"), F.min(target).alias("target"))
+    met = spread.join(counted, "__name__")
+    first = met.groupBy(*key).agg(F.min_by(F.struct(F.col("__name__").alias("name"), "n", "target"), "priority").alias("hit"))
     joined = requests.join(first, key, "left")
-    n = F.size("hit.candidates")
-    return joined.select(*[requests[c] for c in requests.columns], F.col("hit.name").alias("hit_name"), F.col("hit.candidates").alias("targets"), F.when(F.col("hit").isNull(), "unresolved").when(n == 1, "exact").otherwise("ambiguous").alias("kind"))
+    kind = F.when(F.col("hit").isNull(), "unresolved").when(F.col("hit.n") == 1, "exact").otherwise("ambiguous")
+    return joined.select(*[requests[c] for c in requests.columns], F.col("hit.name").alias("hit_name"), F.coalesce("hit.n", F.lit(0)).alias("n_targets"), F.col("hit.target").alias("target"), kind.alias("kind"))
 
 
 def outcome_counts(resolved: DataFrame) -> DataFrame:

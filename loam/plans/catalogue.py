@@ -282,7 +282,7 @@ def call_priority_lookup(t):
     part = t("part")
     catalogue = part.select(F.concat(F.lit("BUILDING:"), (F.col("p_size") % 25).cast("string")).alias("name"), "p_partkey").unionByName(part.select(F.lit("MACHINERY").alias("name"), "p_partkey"))
     found = resolve.by_priority(t("customer").select("c_custkey", "c_mktsegment", "c_nationkey"), ["c_custkey"], names, catalogue, "name", "p_partkey")
-    return found.select("c_custkey", "hit_name", F.coalesce(F.size("targets"), F.lit(0)).cast("long").alias("n_targets"), "kind")
+    return found.select("c_custkey", "hit_name", "n_targets", "kind")
 
 
 SEEDS_SQL = "select o_orderkey as node from orders qualify row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) = 1"

@@ -276,7 +276,7 @@ def call_graph(resolved: DataFrame, project: Project, modules: DataFrame) -> dic
     symbols = symbol_selectors(project.table("symbols").join(modules.select("path", F.col("module").alias("owner_module")), "path"))
     local = symbols.select(F.concat_ws("::", "path", "id").alias("node"), F.lit("local").alias("kind"), F.when(F.count("*").over(Window.partitionBy("selector")) > 1, F.col("full")).otherwise(F.col("selector")).alias("label"), "selector", "full")
     src = F.concat_ws("::", "path", "enclosing")
-    dst = F.when(F.col("kind") == "exact", F.col("targets")[0]).otherwise(F.concat_ws(":", F.lit("call"), "kind", src, "callee"))
+    dst = F.when(F.col("kind") == "exact", F.col("target")).otherwise(F.concat_ws(":", F.lit("call"), "kind", src, "callee"))
     calls = resolved.select(src.alias("src"), dst.alias("dst"), "kind", "callee", "path", "start_byte", "line")
     relations = cut(graph.relations(calls, "src", "dst", "kind", "path", "start_byte", "line").withColumn("weight", F.size("evidence").cast("long")))
     named = calls.where("kind <> 'exact'").select(F.col("dst").alias("node"), "kind", F.col("callee").alias("label"), F.lit(None).cast("string").alias("selector"), F.lit(None).cast("string").alias("full")).distinct()

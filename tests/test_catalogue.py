@@ -178,3 +178,14 @@ def test_suggestions_are_the_nearest_of_all_names(spark):
         want = {(a, x, d, k) for a in asked for k, (d, x) in enumerate(sorted((far(a, x), x) for x in names)[:n], 1)}
         assert {(r["request"], r["name"], r["distance"], r["position"]) for r in got.collect()} == want
     assert graph.suggestions(spark.createDataFrame([("a",)], "request string"), spark.createDataFrame([], "name string")).count() == 0
+
+
+def test_lookups_do_not_carry_the_targets_of_a_name_to_its_requests(spark):
+    from loam.operators import resolve
+
+    held = spark.range(300).select(F.lit("all").alias("name"), "id").unionByName(spark.createDataFrame([("one", 7), ("one", 7), ("none", None)], "name string, id long"))
+    asked = spark.createDataFrame([(1, ["gone", "all", "one"]), (2, ["one", "all"]), (3, ["gone"]), (4, ["none"])], "k long, names array<string>")
+    found = resolve.by_priority(asked, ["k"], F.col("names"), held, "name", "id")
+    got = {r["k"]: (r["hit_name"], r["n_targets"], r["target"], r["kind"]) for r in found.collect()}
+    assert got == {1: ("all", 300, 0, "ambiguous"), 2: ("one", 1, 7, "exact"), 3: (None, 0, None, "unresolved"), 4: ("none", 0, None, "ambiguous")}
+    assert "collect" not in found._jdf.queryExecution().optimizedPlan().toString()
