@@ -52,9 +52,78 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int, direction: str
     return reached
 
 
-def closure(edges: DataFrame, direction: str = "dependencies") -> DataFrame:
-    """All (root, node) with a path of at least one edge from root to node, by squaring: log2(longest path) rounds."""
-    reach = cut(oriented(edges, direction).select(F.col("src").alias("root"), F.col("dst").alias("node")))
+#: Edges of a weakly connected part up to which one task finds its closure; larger parts are squared.
+CLOSURE_EDGES = 20_000
+
+
+def closed_parts(schema: pa.Schema, rows: int = 200_000):
+    """All (root, node) of each part, as bit sets over its strong components in the order in which they close."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roots, reached = [], []
+
+        def made() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((roots, reached), schema)], schema=schema)
+            roots.clear(), reached.clear()
+            return out
+
+        for part in groups_of(batches, "root"):
+            successors: dict = {}
+            for a, b in set(zip(part["src"], part["dst"])):
+                successors.setdefault(a, []).append(b)
+            closed = tarjan(list(successors), successors)
+            order = [n for c in closed for n in c]
+            place = {n: k for k, n in enumerate(order)}
+            reach: dict = {}
+            for c in closed:
+                bits = 0
+                for n in c:
+                    for m in successors.get(n, ()):
+                        bits |= (1 << place[m]) | reach.get(m, 0)
+                for n in c:
+                    reach[n] = bits
+                if not bits:
+                    continue
+                flags = bin(bits)[:1:-1]
+                nodes, k = [], flags.find("1")
+                while k >= 0:
+                    nodes.append(order[k])
+                    k = flags.find("1", k + 1)
+                for n in c:
+                    roots += [n] * len(nodes)
+                    reached += nodes
+                    if len(roots) >= rows:
+                        yield made()
+        if roots:
+            yield made()
+
+    return run
+
+
+def closure(edges: DataFrame, direction: str = "dependencies", part_edges: int = CLOSURE_EDGES) -> DataFrame:
+    """All (root, node) with a path of at least one edge from root to node.
+
+    Weakly connected parts of up to ``part_edges`` edges are solved many in a task; larger ones by squaring, in
+    log2(longest path) rounds.
+    """
+    if direction != "dependencies":
+        edges = oriented(edges, direction)
+    kind = dict(edges.dtypes)["src"]
+    parts = weak_parts(edges)
+    if not parts.where("root is null").isEmpty():  # an end without a key is in no part
+        return squared(parts)
+    large = cut(parts.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > part_edges).select("root"))
+    shape = f"root {kind}, node {kind}"
+    small = parts.join(large, "root", "left_anti").repartition("root").sortWithinPartitions("root")
+    out = small.mapInArrow(closed_parts(to_arrow_schema(_parse_datatype_string(shape))), shape)
+    if large.isEmpty():
+        return out
+    return out.unionByName(squared(parts.join(large, "root", "left_semi")))
+
+
+def squared(edges: DataFrame) -> DataFrame:
+    """The closure of ``edges`` by joining it with itself until nothing is new."""
+    reach = cut(edges.select(F.col("src").alias("root"), F.col("dst").alias("node")).distinct())
     size = reach.count()
     while True:
         onward = reach.select(F.col("root").alias("node"), F.col("node").alias("next"))
@@ -91,7 +160,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame | No
     return seen if targets is None else seen.join(targets.select(F.col(node).alias("target")), "target", "left_semi")
 
 
-def weak_components(edges: DataFrame) -> DataFrame:
+def least_labels(edges: DataFrame) -> DataFrame:
     """(node, root) by least labels and pointer jumping; root is the least node of the component."""
     both = cut(oriented(edges, "both").where("src <> dst"))
     roots = cut(both.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("node"), F.least("src", "low").alias("root")))
@@ -105,6 +174,65 @@ def weak_components(edges: DataFrame) -> DataFrame:
         roots = step.drop("old")
 
 
+#: Edges that one task joins into weakly connected parts at a time.
+CHUNK_EDGES = 500_000
+
+
+def rooted_chunks(schema: pa.Schema, chunk: int):
+    """Append to edges the least node of their weakly connected part among ``chunk`` edges of the task."""
+
+    def rooted(src: list, dst: list) -> pa.RecordBatch:
+        up: dict = {}
+
+        def top(n):
+            up.setdefault(n, n)
+            while up[n] != n:
+                up[n] = up[up[n]]
+                n = up[n]
+            return n
+
+        for a, b in zip(src, dst):
+            if a is None or b is None:
+                continue
+            a, b = top(a), top(b)
+            if a < b:
+                up[b] = a
+            elif b < a:
+                up[a] = b
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((src, dst, [None if a is None or b is None else top(a) for a, b in zip(src, dst)]), schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        src, dst = [], []
+        for batch in batches:
+            src += batch.column(0).to_pylist()
+            dst += batch.column(1).to_pylist()
+            if len(src) >= chunk:
+                yield rooted(src, dst)
+                src, dst = [], []
+        if src:
+            yield rooted(src, dst)
+
+    return run
+
+
+def weak_parts(edges: DataFrame, chunk: int = CHUNK_EDGES) -> DataFrame:
+    """Edges (src, dst, root), cut, with a root for each weakly connected part; null where an end is. Doubles stay.
+
+    Each task joins the edges that it has; only the roots that some node has several of are joined by
+    distributed rounds.  Edges that come from a window or join by a key that keeps parts together leave none.
+    """
+    kind = dict(edges.dtypes)["src"]
+    shape = f"src {kind}, dst {kind}, root {kind}"
+    near = cut(edges.select("src", F.col("dst").cast(kind).alias("dst")).mapInArrow(rooted_chunks(to_arrow_schema(_parse_datatype_string(shape)), chunk), shape))
+    ends = near.where("root is not null").select(F.explode(F.array("src", "dst")).alias("node"), "root")
+    torn = ends.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("node", "low")
+    met = cut(ends.join(torn, "node").where("root <> low").select(F.col("root").alias("src"), F.col("low").alias("dst")).distinct())
+    if met.isEmpty():
+        return near
+    final = least_labels(met).select(F.col("root").alias("final"), F.col("node").alias("root"))
+    return cut(near.join(final, "root", "left").select("src", "dst", F.coalesce("final", "root").alias("root")))
+
+
 def tarjan(nodes: list, successors: dict) -> list[list]:
     """Strongly connected components, without recursion."""
     index, low, on, stack, out = {}, {}, set(), [], []
@@ -224,22 +352,17 @@ def coloured_components(edges: DataFrame) -> DataFrame:
 def strong_components(nodes: DataFrame, edges: DataFrame, node: str = "node", part_edges: int = PART_EDGES) -> DataFrame:
     """(node, component, size, cyclic): component is the least member; cyclic with several members or an edge to itself.
 
-    A graph of up to ``part_edges`` edges is one part; of a larger one the weakly connected parts are found by
-    distributed label propagation.  Parts of up to ``part_edges`` edges are solved by Tarjan's algorithm, many
-    in a task; larger ones by distributed rounds.  Nodes without edges are components of one.
+    Weakly connected parts of up to ``part_edges`` edges are solved by Tarjan's algorithm, many in a task;
+    larger ones by distributed rounds.  Nodes without edges are components of one.
     """
-    once = cut(edges.select("src", "dst").distinct())
     kind = dict(nodes.dtypes)[node]
-    if once.count() <= part_edges:
-        parts = once.withColumn("root", F.lit(None).cast(kind))
-    else:
-        parts = cut(once.join(weak_components(once).select(F.col("node").alias("src"), "root"), "src", "left").withColumn("root", F.coalesce("root", "src")))
+    parts = weak_parts(edges).where("root is not null")
     large = cut(parts.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > part_edges).select("root"))
     schema = to_arrow_schema(_parse_datatype_string(f"{node} {kind}, component {kind}, size long, cyclic boolean"))
     small = parts.join(large, "root", "left_anti").repartition("root").sortWithinPartitions("root")
     solved = small.mapInArrow(solved_parts(node, schema), f"{node} {kind}, component {kind}, size long, cyclic boolean")
     if not large.isEmpty():
-        big = cut(parts.join(large, "root", "left_semi").select("src", "dst"))
+        big = cut(parts.join(large, "root", "left_semi").select("src", "dst").distinct())
         named = coloured_components(big)
         loops = big.where("src = dst").select(F.col("src").alias("node"), F.lit(True).alias("loop"))
         sizes = named.groupBy("component").agg(F.count("*").alias("size"))

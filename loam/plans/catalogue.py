@@ -63,11 +63,17 @@ edges as (
   union select next, node from succession where next is not null and priority = '1-URGENT')"""
 
 
+def succession_rows(t) -> DataFrame:
+    """The edges of ``succession``, those of a customer together; an order key that rows share may double some."""
+    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    ends = t("orders").select(F.col("o_orderkey").alias("a"), "o_orderpriority", F.lead("o_orderkey").over(by).alias("b")).where("b is not null")
+    there, back = F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))
+    return ends.select(F.explode(F.when(F.col("o_orderpriority") == "1-URGENT", F.array(there, back)).otherwise(F.array(there))).alias("e")).select("e.src", "e.dst")
+
+
 def succession(t) -> DataFrame:
     """Edges from every order to the customer's next, and back where the earlier one was urgent."""
-    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    ends = t("orders").select(F.col("o_orderkey").alias("src"), "o_orderpriority", F.lead("o_orderkey").over(by).alias("dst")).where("dst is not null")
-    return ends.select("src", "dst").unionByName(ends.where("o_orderpriority = '1-URGENT'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    return succession_rows(t).distinct()
 
 
 def order_nodes(t) -> DataFrame:
@@ -307,7 +313,7 @@ CLOSURE_SQL = f"with recursive {SUCCESSION_SQL.strip()}, reach as (select src as
 
 @query(CLOSURE_SQL + " select root, node from reach")
 def graph_closure(t):
-    return graph.closure(succession(t))
+    return graph.closure(succession_rows(t))
 
 
 @query(f"with recursive {SUCCESSION_SQL.strip()}, reach as (select node from ({SEEDS_SQL}) union select src from reach join edges on dst = node) select node from reach")
@@ -329,7 +335,7 @@ SCC_SQL = CLOSURE_SQL + ", mutual as (select a.root as node, a.node as other fro
 
 
 def components(t) -> DataFrame:
-    return graph.strong_components(order_nodes(t), succession(t))
+    return graph.strong_components(order_nodes(t), succession_rows(t))
 
 
 @query(SCC_SQL + " select node, component, count(*) over (partition by component) as size, cyclic from scc")

@@ -189,3 +189,45 @@ def test_lookups_do_not_carry_the_targets_of_a_name_to_its_requests(spark):
     got = {r["k"]: (r["hit_name"], r["n_targets"], r["target"], r["kind"]) for r in found.collect()}
     assert got == {1: ("all", 300, 0, "ambiguous"), 2: ("one", 1, 7, "exact"), 3: (None, 0, None, "unresolved"), 4: ("none", 0, None, "ambiguous")}
     assert "collect" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parts_and_closures_match_a_plain_search_however_the_edges_lie(spark):
+    import random
+
+    rng = random.Random(5)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(70, 90)] + [(90, 80), (95, 95), (70, 71)]
+    near: dict = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+
+    def reached(n, steps):
+        seen, todo = set(), list(steps.get(n, ()))
+        while todo:
+            if (m := todo.pop()) not in seen:
+                seen.add(m)
+                todo += steps.get(m, ())
+        return seen
+
+    both: dict = {}
+    for a, b in edges:
+        both.setdefault(a, set()).add(b)
+        both.setdefault(b, set()).add(a)
+    df = spark.createDataFrame(edges, "src long, dst long").repartition(5)
+    for chunk in (7, 1000):
+        assert {r["src"]: r["root"] for r in graph.weak_parts(df, chunk).collect()} == {a: min(reached(a, both) | {a}) for a in near}, chunk
+    want = sorted((a, b) for a in near for b in reached(a, near))
+    for limit in (12, 1000):
+        assert sorted(map(tuple, graph.closure(df, part_edges=limit).collect())) == want, limit
+    assert sorted(map(tuple, graph.closure(df, "dependents").collect())) == sorted((b, a) for a, b in want)
+    odd = spark.createDataFrame([(None, 1), (1, 2), (2, None)], "src long, dst long")
+    assert sorted(map(tuple, graph.closure(odd).collect()), key=str) == sorted([(None, 1), (None, 2), (1, 2), (2, None), (1, None), (None, None)], key=str)
+
+
+def test_parts_that_lie_together_take_no_rounds(spark, monkeypatch):
+    from loam.plans import catalogue
+
+    monkeypatch.setattr(graph, "least_labels", lambda edges: pytest.fail("edges of one customer are in one task"))
+    monkeypatch.setattr(graph, "squared", lambda edges: pytest.fail("small parts are solved in tasks"))
+    t = lambda n: spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet")
+    assert catalogue.graph_closure(t).count() > catalogue.succession(t).count()
+    assert graph.strong_components(catalogue.order_nodes(t), catalogue.succession_rows(t), part_edges=50).count() == t("orders").count()
