@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loam.lineage import cut
 from loam.operators import graph, review
 from loam.plans import project
 from loam.plans.catalogue import query
@@ -36,10 +37,16 @@ def text_of(d: Column) -> Column:
     )
 
 
+#: Files that one task reads.  The ids alone are small, so that Spark would leave all of them to a task or two.
+FILES_A_TASK = 1_000
+
+
 def sources(t) -> DataFrame:
     d = F.col("doc_id")
     path = F.concat(F.lit("pkg"), (d % 5).cast("string"), F.lit("/mod"), d.cast("string"), F.lit(".py"))
-    return t("documents").where("doc_id is not null").select("doc_id").distinct().select(path.alias("path"), text_of(d).cast("binary").alias("bytes"))
+    ids = t("documents").where("doc_id is not null").select("doc_id")
+    tasks = max(1, -(-ids.count() // FILES_A_TASK))
+    return ids.repartition(tasks, "doc_id").distinct().select(path.alias("path"), text_of(d).cast("binary").alias("bytes"))
 
 
 def facts(t) -> DataFrame:
@@ -115,7 +122,7 @@ def python_measurements(t):
 
 @query(f"with {STATES} select path, id, kind, state from states")
 def documentation_eligibility(t):
-    return project.eligible_symbols(pyfacts.table_of(facts(t), "symbols")).select("path", "id", "kind", "state")
+    return project.eligible_symbols(pyfacts.table_of(cut(facts(t)), "symbols")).select("path", "id", "kind", "state")
 
 
 @query(f"""with {STATES}, g as (select 'total' as grouping, null as key, state from states union all select 'kind', kind, state from states union all select 'path', path, state from states),

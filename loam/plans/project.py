@@ -34,6 +34,16 @@ class Project:
         return pyfacts.table_of(self.facts, kind)
 
 
+class Tables(dict):
+    """Tables by name; one given as a function is made when it is first asked for."""
+
+    def __getitem__(self, name: str) -> DataFrame:
+        found = super().__getitem__(name)
+        if callable(found):
+            found = self[name] = found()
+        return found
+
+
 def classified(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Files with category and language; a file that two categories claim with equal rank is an error."""
     out = cut(inventory.classify(files, inventory.rules_frame(files.sparkSession, rules or DEFAULT_RULES)).withColumn("language", S.language_of(F.col("path"))))
@@ -202,8 +212,8 @@ def resolved_imports(project: Project, modules: DataFrame, stdlib: DataFrame | N
     return resolve.resolve_imports(imports, modules, stdlib, providers)
 
 
-def import_graph(resolved: DataFrame, modules: DataFrame) -> dict[str, DataFrame]:
-    """nodes, relations, metrics, components, explanations and coverage of an import graph."""
+def import_graph(resolved: DataFrame, modules: DataFrame) -> Tables:
+    """nodes, relations, metrics, components, explanations and coverage of an import graph.  Components are sought when asked for."""
     ambiguous = F.concat(F.lit("python:ambiguous:"), "source", F.lit(":"), "requested")
     unresolved = F.concat(F.lit("python:unresolved:"), "source", F.lit(":"), F.coalesce("requested", S.reference_text(F.col("level"), F.col("module"), F.col("imported"))), F.lit(":"), "reason")
     dst = F.when(F.col("kind") == "exact", F.col("target")).when(F.col("kind") == "ambiguous", ambiguous).otherwise(unresolved)
@@ -211,15 +221,17 @@ def import_graph(resolved: DataFrame, modules: DataFrame) -> dict[str, DataFrame
     nodes = cut(modules.select(F.col("identity").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct())
     exact = edges.where("kind = 'exact'").select("src", "dst", F.size("evidence").cast("long").alias("weight"))
     local = exact.join(modules.select(F.col("identity").alias("dst")), "dst", "left_semi")
-    components = cut(graph.strong_components(modules.select(F.col("identity").alias("node")), local))
     nodes = nodes.withColumn("kind", F.coalesce(F.nullif(F.regexp_extract("node", "^python:(ambiguous|unresolved|stdlib|distribution):", 1), F.lit("")), F.lit("local")))
     unknown = exact.join(nodes.where("kind in ('local', 'stdlib', 'distribution')").select(F.col("node").alias("dst")), "dst", "left_anti").unionByName(local.join(modules.select(F.col("identity").alias("src")), "src", "left_anti").select("dst", "src", "weight"), allowMissingColumns=True)
     if (lost := unknown.first()) is not None:
         raise GraphError(f"an exact relation's end is unknown: {lost['src']} -> {lost['dst']}")
-    return {
-        "nodes": graph.stable_ids(nodes, F.col("node")), "relations": edges, "metrics": graph.fan_metrics(nodes, exact), "components": components,
-        "explanations": cycles.explain_cycles(components, local), "coverage": resolve.outcome_counts(resolved), "local": local,
+    made = Tables()
+    made |= {
+        "nodes": lambda: graph.stable_ids(nodes, F.col("node")), "relations": edges, "metrics": graph.fan_metrics(nodes, exact),
+        "components": lambda: cut(graph.strong_components(modules.select(F.col("identity").alias("node")), local)),
+        "explanations": lambda: cycles.explain_cycles(made["components"], local), "coverage": resolve.outcome_counts(resolved), "local": local,
     }
+    return made
 
 
 def resolved_calls(project: Project, modules: DataFrame, imports: DataFrame) -> DataFrame:
@@ -267,11 +279,11 @@ def symbol_selectors(symbols: DataFrame) -> DataFrame:
     return named.withColumn("ordinal", F.row_number().over(same.orderBy("path", "start_byte", "id"))).withColumn("full", F.concat("selector", F.lit("#"), "ordinal"))
 
 
-def call_graph(resolved: DataFrame, project: Project, modules: DataFrame) -> dict[str, DataFrame]:
+def call_graph(resolved: DataFrame, project: Project, modules: DataFrame) -> Tables:
     """nodes, relations, metrics, components and coverage of all calls.
 
     Nodes are the project's symbols and, for each calling symbol, what it calls outside, ambiguously or
-    unknown.  A relation holds its calls in order.  Metrics and components look at exact calls only.
+    unknown.  A relation holds its calls in order.  Metrics and components look at exact calls only; components are sought when asked for.
     """
     symbols = symbol_selectors(project.table("symbols").join(modules.select("path", F.col("module").alias("owner_module")), "path"))
     local = symbols.select(F.concat_ws("::", "path", "id").alias("node"), F.lit("local").alias("kind"), F.when(F.count("*").over(Window.partitionBy("selector")) > 1, F.col("full")).otherwise(F.col("selector")).alias("label"), "selector", "full")
@@ -283,10 +295,10 @@ def call_graph(resolved: DataFrame, project: Project, modules: DataFrame) -> dic
     nodes = cut(local.unionByName(named))
     exact = validated(relations, nodes)
     ids = nodes.where("kind = 'local'").select("node")
-    return {
-        "nodes": graph.stable_ids(nodes, F.col("kind") != "local", F.col("node"), letter="c"), "relations": relations, "local": exact, "metrics": graph.fan_metrics(ids, exact),
-        "components": cut(graph.strong_components(ids, exact)), "coverage": resolved.groupBy("kind").agg(F.count("*").alias("n")),
-    }
+    return Tables({
+        "nodes": lambda: graph.stable_ids(nodes, F.col("kind") != "local", F.col("node"), letter="c"), "relations": relations, "local": exact, "metrics": graph.fan_metrics(ids, exact),
+        "components": lambda: cut(graph.strong_components(ids, exact)), "coverage": resolved.groupBy("kind").agg(F.count("*").alias("n")),
+    })
 
 
 def validated(relations: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -340,11 +352,13 @@ def closure_view(g: dict[str, DataFrame], root: DataFrame, direction: str | None
     if direction == "both":
         raise ValueError("a closure follows dependencies or dependents, not both")
     inside = cut(graph.closure_of(g["local"], root, direction or "dependencies"))
-    whole = g["components"].where("cyclic").join(inside.withColumn("in", F.lit(True)), "node", "left").groupBy("component").agg(F.bool_and(F.coalesce("in", F.lit(False))).alias("all")).where("all")
-    return {
-        "nodes": g["nodes"].join(inside, "node", "left_semi"), "relations": graph.view(g["relations"].where("kind = 'exact'"), inside),
-        "components": g["components"].where("cyclic").join(whole, "component", "left_semi"),
-    }
+
+    def within() -> DataFrame:
+        cyclic = g["components"].where("cyclic")
+        whole = cyclic.join(inside.withColumn("in", F.lit(True)), "node", "left").groupBy("component").agg(F.bool_and(F.coalesce("in", F.lit(False))).alias("all")).where("all")
+        return cyclic.join(whole, "component", "left_semi")
+
+    return Tables({"nodes": g["nodes"].join(inside, "node", "left_semi"), "relations": graph.view(g["relations"].where("kind = 'exact'"), inside), "components": within})
 
 
 def fan_ranking(metrics: DataFrame, by: str, n: int = 10) -> DataFrame:

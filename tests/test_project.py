@@ -294,3 +294,25 @@ def test_graph_operators(spark):
     assert parts["e"] == ("d", True) and parts["f"] == ("f", False) and parts["a"] == ("a", False)
     with pytest.raises(ValueError, match="direction"):
         graph.oriented(edges, "sideways")
+
+
+def test_made_files_are_read_by_many_tasks_and_once(spark, small, monkeypatch):
+    from loam.plans import code
+
+    monkeypatch.setattr(code, "FILES_A_TASK", 20)
+    t = lambda n: spark.read.parquet(f"{small}/{n}.parquet")
+    assert code.sources(t).rdd.getNumPartitions() == -(-t("documents").count() // 20)
+    assert "MapInArrow" not in code.documentation_eligibility(t)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_components_are_sought_only_when_asked_for(spark, small, monkeypatch):
+    from loam.plans import code
+
+    asked = []
+    monkeypatch.setattr(graph, "strong_components", lambda *a, **k: asked.append(1) or spark.createDataFrame([], "node string, component string, size long, cyclic boolean"))
+    t = lambda n: spark.read.parquet(f"{small}/{n}.parquet")
+    _, modules, imports = code.imports_of(t)
+    g = project.import_graph(imports, modules)
+    assert g["relations"].count() and g["metrics"].count() and not asked
+    assert g["explanations"].count() == 0 and g["components"].count() == 0 and asked == [1]
+    assert code.called(t)["coverage"].count() == 2 and asked == [1]
