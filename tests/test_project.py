@@ -316,3 +316,11 @@ def test_components_are_sought_only_when_asked_for(spark, small, monkeypatch):
     assert g["relations"].count() and g["metrics"].count() and not asked
     assert g["explanations"].count() == 0 and g["components"].count() == 0 and asked == [1]
     assert code.called(t)["coverage"].count() == 2 and asked == [1]
+
+
+def test_chains_of_names_need_no_unparser(monkeypatch):
+    seen, plain = [], pyfacts.ast.unparse
+    monkeypatch.setattr(pyfacts.ast, "unparse", lambda n: seen.append(plain(n)) or plain(n))
+    f = facts("import a\n@a.b\n@a.c(1)\ndef f():\n    a.b.c(x)\n    g()[0].h()\n")
+    assert seen == ["a.c(1)", "g()[0].h"]
+    assert [c["callee"] for c in f["calls"]] == ["a.c", "a.b.c", "g", "g()[0].h"] and f["symbols"][1]["decorators"] == ["a.b", "a.c(1)"]
\ No newline at end of file
