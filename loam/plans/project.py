@@ -248,8 +248,7 @@ def resolved_calls(project: Project, modules: DataFrame, imports: DataFrame) ->
         "path", "bound", F.col("kind").alias("bind_kind"), F.col("origin").alias("bind_origin"), F.col("requested").alias("bind_module"), F.col("imported").alias("bind_name"), F.col("target").alias("bind_target")
     )
     calls = project.table("calls").join(modules.select("path", F.col("module").alias("owner_module")), "path")
-    owner = symbols.select("path", F.col("id").alias("enclosing"), F.col("kind").alias("owner_kind"), F.col("qualified_name").alias("owner_name"))
-    calls = calls.withColumn("call_id", F.concat_ws(":", "path", F.col("start_byte").cast("string"), "callee")).join(owner, ["path", "enclosing"], "left")
+    calls = calls.withColumn("call_id", F.concat_ws(":", "path", F.col("start_byte").cast("string"), "callee"))
     calls = calls.withColumn("first", F.get("components", F.lit(0))).join(bindings.withColumnRenamed("bound", "first"), ["path", "first"], "left")
     n, rest = F.size("components"), F.array_join(F.slice("components", 2, 1 << 20), ".")
     scopes = F.split("owner_name", "[.]")
@@ -289,15 +288,17 @@ def call_graph(resolved: DataFrame, project: Project, modules: DataFrame) -> Tab
     local = symbols.select(F.concat_ws("::", "path", "id").alias("node"), F.lit("local").alias("kind"), F.when(F.count("*").over(Window.partitionBy("selector")) > 1, F.col("full")).otherwise(F.col("selector")).alias("label"), "selector", "full")
     src = F.concat_ws("::", "path", "enclosing")
     dst = F.when(F.col("kind") == "exact", F.col("target")).otherwise(F.concat_ws(":", F.lit("call"), "kind", src, "callee"))
-    calls = resolved.select(src.alias("src"), dst.alias("dst"), "kind", "callee", "path", "start_byte", "line")
+    calls = resolved.select(src.alias("src"), dst.alias("dst"), "kind", "path", "start_byte", "line")
     relations = cut(graph.relations(calls, "src", "dst", "kind", "path", "start_byte", "line").withColumn("weight", F.size("evidence").cast("long")))
-    named = calls.where("kind <> 'exact'").select(F.col("dst").alias("node"), "kind", F.col("callee").alias("label"), F.lit(None).cast("string").alias("selector"), F.lit(None).cast("string").alias("full")).distinct()
+    # Calls are resolved once, for the relations: what a name of dst ends in is the callee, and dst, kind and label tell src.
+    callee = F.expr("substring(dst, length('call') + length(kind) + length(src) + 4)")
+    named = relations.where("kind <> 'exact'").select(F.col("dst").alias("node"), "kind", callee.alias("label"), F.lit(None).cast("string").alias("selector"), F.lit(None).cast("string").alias("full"))
     nodes = cut(local.unionByName(named))
     exact = validated(relations, nodes)
     ids = nodes.where("kind = 'local'").select("node")
     return Tables({
         "nodes": lambda: graph.stable_ids(nodes, F.col("kind") != "local", F.col("node"), letter="c"), "relations": relations, "local": exact, "metrics": graph.fan_metrics(ids, exact),
-        "components": lambda: cut(graph.strong_components(ids, exact)), "coverage": resolved.groupBy("kind").agg(F.count("*").alias("n")),
+        "components": lambda: cut(graph.strong_components(ids, exact)), "coverage": relations.groupBy("kind").agg(F.sum("weight").alias("n")),
     })
 
 
@@ -305,9 +306,9 @@ def validated(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     """The exact relations as edges; one whose source or target is no local node is an error."""
     local = nodes.where("kind = 'local'").select("node")
     exact = relations.where("kind = 'exact'").select("src", "dst", "weight")
-    for end in ("src", "dst"):
-        if (lost := exact.join(local, exact[end] == local["node"], "left_anti").select(end).first()) is not None:
-            raise GraphError(f"an exact relation's {'source' if end == 'src' else 'target'} is unknown: {lost[0]}")
+    ends = exact.select(F.explode(F.array(F.struct(F.lit("source").alias("end"), F.col("src").alias("node")), F.struct(F.lit("target").alias("end"), F.col("dst").alias("node")))).alias("e")).select("e.*")
+    if (lost := ends.join(local, "node", "left_anti").agg(F.min(F.struct("end", "node")).alias("e")).first()["e"]) is not None:
+        raise GraphError(f"an exact relation's {lost['end']} is unknown: {lost['node']}")
     return exact
 
 

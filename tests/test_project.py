@@ -323,4 +323,24 @@ def test_chains_of_names_need_no_unparser(monkeypatch):
     monkeypatch.setattr(pyfacts.ast, "unparse", lambda n: seen.append(plain(n)) or plain(n))
     f = facts("import a\n@a.b\n@a.c(1)\ndef f():\n    a.b.c(x)\n    g()[0].h()\n")
     assert seen == ["a.c(1)", "g()[0].h"]
-    assert [c["callee"] for c in f["calls"]] == ["a.c", "a.b.c", "g", "g()[0].h"] and f["symbols"][1]["decorators"] == ["a.b", "a.c(1)"]
\ No newline at end of file
+    assert [c["callee"] for c in f["calls"]] == ["a.c", "a.b.c", "g", "g()[0].h"] and f["symbols"][1]["decorators"] == ["a.b", "a.c(1)"]
+
+
+def test_calls_know_their_owner_and_are_resolved_once(spark, small):
+    from loam.plans import code
+
+    f = facts("class K:\n    def m(self):\n        f()\n    g()\nh()\nlambda: i()\n")
+    assert [(c["callee"], c["owner_kind"], c["owner_name"]) for c in f["calls"]] == [("f", "method", "K.m"), ("g", "class", "K"), ("h", "module", "m.py"), ("i", "lambda", "m.py.<lambda>@6:1")]
+    g = code.called(lambda n: spark.read.parquet(f"{small}/{n}.parquet"))
+    assert "Join" not in g["coverage"]._jdf.queryExecution().optimizedPlan().toString()
+    outside = g["nodes"].where("kind <> 'local'").select("node", "label")
+    assert not outside.isEmpty() and outside.where("not endswith(node, concat(':', label)) or label rlike '::'").isEmpty()
+
+
+def test_relations_to_unknown_symbols_are_errors(spark):
+    nodes = spark.createDataFrame([("a", "local"), ("b", "local"), ("x", "external")], "node string, kind string")
+    edges = lambda *rows: spark.createDataFrame([(*r, "exact", 1) for r in rows] + [("q", "x", "external", 1)], "src string, dst string, kind string, weight long")
+    assert project.validated(edges(("a", "b"), ("b", "a")), nodes).count() == 2
+    for rows, text in ([("a", "b"), ("c", "b")], "source is unknown: c"), ([("a", "x")], "target is unknown: x"):
+        with pytest.raises(project.GraphError, match=text):
+            project.validated(edges(*rows), nodes)
\ No newline at end of file
