@@ -153,7 +153,7 @@ def policy_findings(t):
 
 @query("select 'blocked' as status, 3 as exit_code")
 def policy_gate(t):
-    return review.gate_status(project.findings(made(t), POLICY)).select("status", "exit_code")
+    return review.gate_status(project.unordered_findings(made(t), POLICY)).select("status", "exit_code")
 
 
 @query(f"with {SYMBOLS} select (select count(*) from files) as selected_language_files, 0::bigint as unsupported_selected_files, (select count(*) from files) as analyzed_files, (select count(*) from files where not bad) as successful_files, (select count(*) from files where bad) as partial_files, 0::bigint as failed_files, count(*) as eligible_callables, count(*) filter (not partial) as measured_callables, count(*) filter (partial) as unavailable_callables from symbols where kind in ('function', 'method')")

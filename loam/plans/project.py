@@ -145,6 +145,12 @@ def documentation(project: Project, tests: bool = False, percent: int = 80) -> D
 
 def findings(project: Project, policy: Policy = Policy(), documented: bool = True, tests: bool = False) -> DataFrame:
     """All findings of a policy over the selected files, with path; in the order of the gate.  ``tests``: documentation is asked of tests too."""
+    order = review.finding_order()
+    return review.with_position(unordered_findings(project, policy, documented, tests), *order[:2], F.col("path").asc_nulls_first(), *order[2:])
+
+
+def unordered_findings(project: Project, policy: Policy = Policy(), documented: bool = True, tests: bool = False) -> DataFrame:
+    """The findings without their positions, all that the gate asks for."""
     spark = project.facts.sparkSession
     if policy.documentation_below is not None and not documented:
         raise ValueError("a documentation threshold needs documentation facts")
@@ -165,8 +171,7 @@ def findings(project: Project, policy: Policy = Policy(), documented: bool = Tru
         rule = F.when(decided.isNull(), "documentation-coverage-unavailable").otherwise("documentation-coverage-below-threshold")
         row = total.where(F.coalesce(~decided, F.lit(True))).select(rule.alias("rule_id"), F.lit(None).cast("string").alias("item"), F.col("basis_points").alias("observed"), F.lit(policy.documentation_below * 100).cast("long").alias("threshold"), F.lit("basis-points").alias("unit"), *open_row[3:], F.lit(None).cast("string").alias("path"))
         out = out.unionByName(row)
-    order = review.finding_order()
-    return review.with_position(out, *order[:2], F.col("path").asc_nulls_first(), *order[2:])
+    return out
 
 
 def package_roots(root: str) -> list[str]:

@@ -343,4 +343,12 @@ def test_relations_to_unknown_symbols_are_errors(spark):
     assert project.validated(edges(("a", "b"), ("b", "a")), nodes).count() == 2
     for rows, text in ([("a", "b"), ("c", "b")], "source is unknown: c"), ([("a", "x")], "target is unknown: x"):
         with pytest.raises(project.GraphError, match=text):
-            project.validated(edges(*rows), nodes)
\ No newline at end of file
+            project.validated(edges(*rows), nodes)
+
+
+def test_the_gate_needs_no_positions(spark, small, monkeypatch):
+    from loam.operators import review
+    from loam.plans import code
+
+    monkeypatch.setattr(review, "with_position", lambda *a, **k: pytest.fail("positions were asked for"))
+    assert code.policy_gate(lambda n: spark.read.parquet(f"{small}/{n}.parquet")).first()["status"] == "blocked"
\ No newline at end of file
