@@ -184,9 +184,10 @@ def analyzer_descriptors(t):
 def imports_of(t) -> tuple[project.Project, DataFrame, DataFrame]:
     p = made(t)
     modules = project.local_modules(p, [""])
-    spark = p.facts.sparkSession
-    stdlib = spark.createDataFrame([("os",)], "name string")
-    providers = spark.createDataFrame([], "import_name string, distribution string, version string")
+    # Plans without data of their own: nothing is sent to the executors, and an empty table's join falls away.
+    one, text = p.facts.sparkSession.range(1), F.lit(None).cast("string")
+    stdlib = one.select(F.lit("os").alias("name"))
+    providers = one.where(F.lit(False)).select(text.alias("import_name"), text.alias("distribution"), text.alias("version"))
     return p, modules, project.resolved_imports(p, modules, stdlib, providers)
 
 

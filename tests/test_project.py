@@ -351,4 +351,11 @@ def test_the_gate_needs_no_positions(spark, small, monkeypatch):
     from loam.plans import code
 
     monkeypatch.setattr(review, "with_position", lambda *a, **k: pytest.fail("positions were asked for"))
-    assert code.policy_gate(lambda n: spark.read.parquet(f"{small}/{n}.parquet")).first()["status"] == "blocked"
\ No newline at end of file
+    assert code.policy_gate(lambda n: spark.read.parquet(f"{small}/{n}.parquet")).first()["status"] == "blocked"
+
+
+def test_imports_meet_no_empty_table(spark, small):
+    from loam.plans import code
+
+    imports = code.imports_of(lambda n: spark.read.parquet(f"{small}/{n}.parquet"))[2]
+    assert imports._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 3
